@@ -1,13 +1,22 @@
-"""A training corpus from raw documents: stages that each read what the one before wrote."""
+"""A training corpus from raw documents: five stages, each of which works on what the one before kept.
+
+toxicity drops documents rated toxic; near_duplicates keeps one of each group of near copies; secrets masks secrets in the
+texts; mixing repeats or leaves out documents so that sources meet their target weights (a document taken twice is two
+rows); packing returns the pieces of all these documents in sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import secret_automaton, simhash_dedup, source_mixing
+from strandweave.llm import secret_automaton, simhash_dedup, source_mixing, swap_packing, toxic_neighbours
 from strandweave.llm.common import materialise, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxic_neighbours.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.representatives(docs)
 
@@ -20,14 +29,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mixing.apply_mix(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return swap_packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 
-#: The first stages have no equivalent in SQL; tests hold run() against a brute-force version.
+#: Nearest neighbours, fingerprints, automata and tokenisers have no equivalent in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
     return docs
