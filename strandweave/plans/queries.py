@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.operators import align, assign, coverage, evaluate, filters, layout, links, matrix, pairs, sequence
-from strandweave.plans import proxy
+from strandweave.plans import grouped, proxy
 from strandweave.plans.proxy import with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -720,3 +720,106 @@ p AS (SELECT object, source, count(*) AS c FROM r WHERE r <= 2 AND n >= 2 GROUP
 def scaffold_dominant(spark, d):
     c = proxy.contigs(spark, d).where("grp is not null").select(F.concat(F.lit("group"), F.col("grp")).alias("object"), "ctg", "len", F.concat(F.lit("h"), F.col("hap")).alias("source"))
     return evaluate.top_dominant(c, 2)
+
+
+# --- whole groups: iterative operators without an equivalent in SQL --------------------------------------------------------
+
+
+@query()
+def mcl_clusters(spark, d):
+    """Markov clustering of a graph with planted groups: links within a group count for more."""
+    f = Frames(spark, d)
+    side = lambda s: f.contigs.where("grp is not null").select(F.col("ctg").alias(f"ctg_{s}"), (F.col("grp") % 6).alias(f"g_{s}"))
+    near = f.links.join(side("i"), "ctg_i").join(side("j"), "ctg_j").where("g_i = g_j")
+    return grouped.dense_clusters(near.select("ctg_i", "ctg_j", "links"), 2.0)
+
+
+@query()
+def mcl_sparse(spark, d):
+    """The relational way, on the banded graph."""
+    f = Frames(spark, d)
+    return matrix.markov_cluster(links.symmetric(banded(f, 1), f.contigs, loops=True), 2.0, least=0.01, rounds=12)
+
+
+@query()
+def fast_sort_tour(spark, d):
+    f = Frames(spark, d)
+    return grouped.tours(links.half_links(f.pairs, f.contigs), f.contigs)
+
+
+@query()
+def kr_balance(spark, d):
+    m = _matrix(spark, d)
+    return rounded(grouped.balanced_blocks(m, layout.bins_of(_agp(spark, d), MAP_BIN)), "v")
+
+
+@query()
+def reassign_fixpoint(spark, d):
+    f = Frames(spark, d)
+    return grouped.reassigned(f.links, f.contigs, least_sites=5, least_links=20, ambiguous=0.97, least_density=0.05, least_ratio=1.05)
+
+
+@query()
+def linkage_merge(spark, d):
+    f = Frames(spark, d)
+    t = assign.group_totals(f.contigs)
+    return grouped.merged_groups(assign.group_pairs(f.links, f.contigs, t), t, 6)
+
+
+@query()
+def allelic_removal(spark, d):
+    f = Frames(spark, d)
+    return grouped.allelic_removed(f.links, filters.concordant(links.concordance(f.pairs, f.contigs, 20, 5), 0.3), 4)
+
+
+def _hits(spark, d):
+    p = align.paf_kept(proxy.alignments(spark, d), 1, 0, 60)
+    return p.select(F.col("qname").alias("ctg"), "rname", "strand", ((F.col("rstart") + F.col("rend")) / 2).alias("middle"), (F.col("qend") - F.col("qstart")).alias("len"))
+
+
+@query()
+def weighted_lis(spark, d):
+    return grouped.ordered_against(proxy.layout(spark, d).select("object", "idx", "ctg", "orient"), _hits(spark, d))
+
+
+@query()
+def refsort_agp(spark, d):
+    rows = _agp(spark, d)
+    return grouped.referenced_agp(rows, grouped.ordered_against(proxy.layout(spark, d).select("object", "idx", "ctg", "orient"), _hits(spark, d)))
+
+
+@query()
+def chain_alignments(spark, d):
+    return grouped.chained(align.paf_kept(proxy.alignments(spark, d), 5, 100, 60), 0.0, 0.2)
+
+
+@query()
+def chain_clusters(spark, d):
+    """Connected components of queries and references that share a chain."""
+    c = grouped.chained(align.paf_kept(proxy.alignments(spark, d), 5, 100, 60), 0.0, 0.9)
+    return matrix.connected(c.select(F.col("qname").alias("a"), F.col("rname").alias("b")))
+
+
+@query()
+def assembly_correction(spark, d):
+    f = Frames(spark, d)
+    return grouped.corrected(f.pairs, f.contigs, RES, 3, 0.8, 0.02, 40)
+
+
+@query()
+def scaffold_evaluation(spark, d):
+    rows = proxy.layout(spark, d)
+    c = proxy.contigs(spark, d)
+    number = F.substring("ctg", 4, 10).cast("long")
+    truth = c.where("re_sites > 5").select("ctg", F.concat(F.lit("chr"), (F.col("grp") % 9).cast("string")).alias("source"), number.alias("pos"), F.when(F.col("len") % 300 == 0, "-").otherwise("+").alias("orient")).where("source is not null")
+    return grouped.evaluated(rows, truth)
+
+
+@query()
+def long_read_paths(spark, d):
+    p = pairs.between_contigs(Frames(spark, d).pairs)
+    c = proxy.contigs(spark, d)
+    j = pairs.with_lengths(p, c)
+    number = lambda x: F.substring(x, 4, 10).cast("long")
+    near = j.where(number("ctg_j") - number("ctg_i") == 1).where((F.col("pos_i") * 2 > F.col("len_i")) & (F.col("pos_j") * 2 <= F.col("len_j")))
+    return grouped.long_read_paths(near.select("ctg_i", F.lit("T").alias("half_i"), "ctg_j", F.lit("H").alias("half_j")), 2)
