@@ -31,12 +31,14 @@ BITS, WORDS = 256, 4
 
 @dataclass(frozen=True)
 class Near:
-    """Shingle width and least similarity; recall aimed at for a pair of exactly that similarity; strip width and
+    """Shingle width and least similarity; recall aimed at for a pair of exactly that similarity, by
+    the recursion, and standard deviations that its differing bits may exceed what is expected; strip width and
     largest partial weight (from a centre) that passes; rows of a list that is compared by brute force."""
 
     width: int = 5
     similarity: float = 0.8
-    recall: float = 0.97
+    recall: float = 0.99
+    margin: float = 2.8
     strip: int = 32
     weight: int = 8
     list_rows: int = 4096
@@ -112,7 +114,7 @@ def levels(n: int, p: Near) -> Levels:
     """Depth from the number of fingerprints; centres so that a pair at the similarity meets with the target recall."""
     delta = differing(p.similarity)
     sd = math.sqrt(BITS * delta * (1 - delta))
-    bits = int(BITS * delta + 2.4 * sd)
+    bits = int(BITS * delta + p.margin * sd)
     one = _binomial(p.strip, 0.5)
     both = 0.0
     for w in range(p.weight + 1):  # the nearer one has weight w; the other loses some of these and gains some

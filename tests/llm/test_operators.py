@@ -352,11 +352,15 @@ def planted(n=60, seed=3):
     return own
 
 
-def test_near_duplicates_equal_brute_force(spark, sf):
+def test_near_duplicates_against_brute_force(spark, sf):
+    """No false link, and the true links but for the share that the target recall leaves out."""
     own = texts(sf) | {10**6 + k: t for k, t in planted().items()}
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     got = {r.doc_id: r.cluster_id for r in simhash_dedup.near_duplicates(df).collect()}
-    assert got == groups_by_brute_force(own)
+    want = groups_by_brute_force(own)
+    assert all(want[k] == want[c] for k, c in got.items())
+    merges = len(own) - len(set(want.values()))
+    assert len(own) - len(set(got.values())) >= 0.97 * merges
 
 
 def test_levels_reach_their_recall():
@@ -370,12 +374,11 @@ def test_levels_reach_their_recall():
     met = 0
     a, b = ({tuple(x) for x in np.column_stack(simhash_dedup.passing(pack(y.astype(np.uint8)), mask, centre, p.weight)).tolist()} for y in (bits, near))
     met = len({x[0] for x in a & b})
-    assert met / 300 >= 0.93
+    assert met / 300 >= 0.97
 
 
-def test_big_lists_are_tiled(spark):
-    own = planted(24)
-    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
-    want = groups_by_brute_force(own)
-    got = {r.doc_id: r.cluster_id for r in simhash_dedup.near_duplicates(df, simhash_dedup.Near(list_rows=3000, deep_rows=4, first=1, grow=2)).collect()}
-    assert got == want
+def test_rounds_and_tiles_lose_nothing(spark):
+    """Many small rounds over tiles find what a single round over all candidates finds."""
+    df = spark.createDataFrame(list(planted(24).items()), "doc_id long, text string")
+    got, want = ({r.doc_id: r.cluster_id for r in simhash_dedup.near_duplicates(df, p).collect()} for p in (simhash_dedup.Near(deep_rows=4, first=1, grow=2), simhash_dedup.Near(first=10**6)))
+    assert got == want and len(set(got.values())) < len(got)
