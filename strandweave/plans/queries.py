@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.operators import align, assign, coverage, evaluate, filters, layout, links, matrix, pairs, sequence
+from strandweave.operators import align, assign, coverage, evaluate, filters, layout, links, matrix, names, pairs, sequence
 from strandweave.plans import grouped, proxy
 from strandweave.plans.proxy import with_
 
@@ -609,6 +609,42 @@ def fasta_wrap(spark, d):
     return proxy.sequences(spark, d).select("name", sequence.wrapped(F.col("seq"), 60).alias("wrapped"))
 
 
+@query(with_("seqs", """, p AS (SELECT name, length(seq) AS l, string_split(seq, 'GTGT') AS x FROM seqs),
+u AS (SELECT name, l, unnest(range(1, len(x))) AS k, x FROM p WHERE len(x) > 1),
+a AS (SELECT name, l, list_sum(list_transform(x[1:k], lambda y: length(y))) + 4 * (k - 1) AS place FROM u) SELECT name, floor(place * 100 / l)::BIGINT AS bin, count(*) AS n FROM a GROUP BY 1, 2"""))
+def telomere_histogram(spark, d):
+    return names.motif_histogram(proxy.sequences(spark, d), "GTGT", 100)
+
+
+_NAMES = """WITH n AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'chr' || (o_custkey % 9)::VARCHAR || '_' || (o_custkey % 3)::VARCHAR || '_' || o_orderkey::VARCHAR || '_1_' || (o_custkey + 1)::VARCHAR || '_+_' || (o_custkey + 1)::VARCHAR
+ WHEN 1 THEN 'utg' || o_orderkey::VARCHAR || ':' || o_custkey::VARCHAR || '-' || (o_custkey + 9)::VARCHAR WHEN 2 THEN 'utg' || o_orderkey::VARCHAR || '_break1_break2' ELSE 'scaf' || o_orderkey::VARCHAR END AS name FROM orders)"""
+
+
+def _named(spark, d):
+    s, k, c = (lambda x: x.cast("string")), F.col("o_orderkey"), F.col("o_custkey")
+    one = F.concat(F.lit("chr"), s(c % 9), F.lit("_"), s(c % 3), F.lit("_"), s(k), F.lit("_1_"), s(c + 1), F.lit("_+_"), s(c + 1))
+    two, three = F.concat(F.lit("utg"), s(k), F.lit(":"), s(c), F.lit("-"), s(c + 9)), F.concat(F.lit("utg"), s(k), F.lit("_break1_break2"))
+    name = F.when(k % 4 == 0, one).when(k % 4 == 1, two).when(k % 4 == 2, three).otherwise(F.concat(F.lit("scaf"), s(k)))
+    return proxy.read(spark, d, "orders").select(k.alias("k"), name.alias("name"))
+
+
+@query(_NAMES + """ SELECT k, nullif(regexp_extract(name, '^(.+)_([^_]+)_(\\d+)_(\\d+)_(\\d+)_([+-])_(\\d+)$', 1), '') AS chrom, try_cast(nullif(regexp_extract(name, '^(.+)_([^_]+)_(\\d+)_(\\d+)_(\\d+)_([+-])_(\\d+)$', 7), '') AS BIGINT) AS len,
+CASE WHEN k % 4 IN (1, 2) THEN 'utg' || k::VARCHAR ELSE name END AS parent, coalesce(nullif(regexp_extract(name, '^(chr\\d+)', 1), ''), 'unanchored') AS source FROM n""")
+def name_truth(spark, d):
+    n = names.simulated(_named(spark, d))
+    return n.select("k", "chrom", "len", names.parent(F.col("name")).alias("parent"), names.source_of(F.col("name"), r"^(chr\d+)").alias("source"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, (o_orderkey % 7)::VARCHAR || 'H' || (o_custkey % 50 + 1)::VARCHAR || 'M2D' || (o_custkey % 3 + 1)::VARCHAR || 'I4M' || (o_orderkey % 5)::VARCHAR || 'S' AS cigar, o_orderkey % 7 AS h, o_orderkey % 5 AS t,
+ o_custkey % 50 + 1 + o_custkey % 3 + 1 + 4 AS used, o_orderkey % 2 = 1 AS rev FROM orders) SELECT k, CASE WHEN rev THEN t ELSE h END AS start, CASE WHEN rev THEN t ELSE h END + used AS "end" FROM c""")
+def cigar_ranges(spark, d):
+    s, k, c = (lambda x: x.cast("string")), F.col("o_orderkey"), F.col("o_custkey")
+    cigar = F.concat(s(k % 7), F.lit("H"), s(c % 50 + 1), F.lit("M2D"), s(c % 3 + 1), F.lit("I4M"), s(k % 5), F.lit("S"))
+    o = proxy.read(spark, d, "orders").select(k.alias("k"), cigar.alias("cigar"), (k % 2 == 1).alias("rev"))
+    r = names.read_range(F.col("cigar"), F.col("rev"), names.read_length(F.col("cigar")))
+    return o.select("k", r["start"].alias("start"), r["end"].alias("end"))
+
+
 # --- alignments -----------------------------------------------------------------------------------------------------------
 
 
