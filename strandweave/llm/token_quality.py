@@ -1,4 +1,5 @@
-"""Quality rules on tokeniser fertility: characters per token, byte-fallback share and token entropy under public vocabularies.
+"""Quality rules on tokeniser fertility: tokens per word, characters per token, byte-fallback share and token entropy under
+public vocabularies.
 
 Each measure has a rejection band for each language (for rows without one, for the script of their letters) and each
 octave of token counts, as short texts scatter more and have relatively more distinct tokens. The bands come from the
@@ -22,7 +23,7 @@ from strandweave.llm.swap_packing import encoder
 from strandweave.llm.textkernel import pieces, text_buffer
 from strandweave.llm.textstats import scripts, stats
 
-MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy")
+MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy", "tokens_per_word")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -33,7 +34,7 @@ class Bands:
     vocabulary: str = "byte_bpe_50k.tiktoken"
     pieces: str = "piece_bpe_32k.model"
     spread: float = 5.0
-    floor: tuple[float, ...] = (0.2, 0.2, 0.03, 0.03)
+    floor: tuple[float, ...] = (0.2, 0.2, 0.03, 0.03, 0.3)
     least: int = 200
     accuracy: int = 10_000
 
@@ -59,11 +60,11 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(counts * np.log2(counts)).sum() / np.log2(len(ids)))
 
 
-def measures(text: str, points: int, p: Bands) -> tuple[int, int, float, float, float, float]:
+def measures(text: str, points: int, n_words: int, p: Bands) -> tuple[int, int, float, float, float, float, float]:
     ids = np.asarray(encoder(p.vocabulary, ()).encode_to_numpy(text))
     model, is_byte = piece_model(p.pieces)
     parts = np.asarray(model.encode(text, num_threads=1), np.int64)
-    return len(ids), len(parts), points / max(1, len(ids)), points / max(1, len(parts)), float(is_byte[parts].mean()) if len(parts) else 0.0, entropy(ids)
+    return len(ids), len(parts), points / max(1, len(ids)), points / max(1, len(parts)), float(is_byte[parts].mean()) if len(parts) else 0.0, entropy(ids), len(ids) / max(1, n_words)
 
 
 def measured(docs: DataFrame, p: Bands) -> DataFrame:
@@ -77,10 +78,10 @@ def measured(docs: DataFrame, p: Bands) -> DataFrame:
             for lo, hi in pieces(offsets):
                 own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 s = stats(own, off)
-                rows = [measures(own[off[k] : off[k + 1]].tobytes().decode(), int(s["chars"][k]), p) for k in range(hi - lo)]
+                rows = [measures(own[off[k] : off[k + 1]].tobytes().decode(), int(s["chars"][k]), int(s["n_words"][k]), p) for k in range(hi - lo)]
                 band = [x or y for x, y in zip(langs[lo:hi], scripts(own, off), strict=True)]
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(band), *(pa.array(s[c].astype(np.int64)) for c in COUNTS)]
-                cols += [pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(6)]
+                cols += [pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(2 + len(MEASURES))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
