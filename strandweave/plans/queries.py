@@ -40,7 +40,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-# --- pairs and links -----------------------------------------------------------------------------------------------------
+# --- pairs and links ---
 
 
 @query(with_("contigs t raw pairs", " SELECT read_id, ctg_i, pos_i, ctg_j, pos_j FROM pairs"))
@@ -204,7 +204,7 @@ def isolated_contigs(spark, d):
     return links.isolated(f.contigs, f.links)
 
 
-# --- filters -------------------------------------------------------------------------------------------------------------
+# --- filters ---
 
 _NX = """, o AS (SELECT *, coalesce(sum(len) OVER (ORDER BY len DESC, md5(ctg), ctg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM contigs),
 nx AS (SELECT ctg, len, re_sites FROM o WHERE ahead * 100 < (SELECT sum(len) FROM contigs) * 80)"""
@@ -275,7 +275,7 @@ def rank_sum_filter(spark, d):
     return filters.below_iqr(_rank_sums(spark, d), "rank_sum", 1.5).select("ctg", "rank_sum")
 
 
-# --- coverage ------------------------------------------------------------------------------------------------------------
+# --- coverage ---
 
 RES = 20
 _COV = f""", ev AS (SELECT ctg, bin, sum(e) AS e FROM (SELECT ctg_i AS ctg, pos_i // {RES} AS bin, 1 AS e FROM pairs WHERE ctg_i = ctg_j
@@ -342,7 +342,7 @@ def split_spanning_pairs(spark, d):
     return coverage.split_pairs(b.pairs, b.breaks, b.frags, RES)
 
 
-# --- groups --------------------------------------------------------------------------------------------------------------
+# --- groups ---
 
 _TOT = ", tot AS (SELECT grp, count(*) AS n, sum(len)::BIGINT AS len, (1 + sum(re_sites - 1))::BIGINT AS re_sum FROM contigs WHERE grp IS NOT NULL GROUP BY 1)"
 _CG = _TOT + """, lk AS (SELECT ctg_i AS ctg, ctg_j AS other, links FROM links UNION ALL SELECT ctg_j, ctg_i, links FROM links),
@@ -454,7 +454,7 @@ def cumulative_curve(spark, d):
     return rounded(assign.curve(proxy.contigs(spark, d), "re_sites"), "pct_filtered", "pct_length_left")
 
 
-# --- layouts and contact maps ----------------------------------------------------------------------------------------------
+# --- layouts and contact maps ---
 
 _AGP = """, sq AS (SELECT object, ctg, len, orient, row_number() OVER w AS n, lead(ctg) OVER w AS nx, coalesce(sum(len + 100) OVER (PARTITION BY object ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start
  FROM layout WINDOW w AS (PARTITION BY object ORDER BY idx)),
@@ -555,7 +555,7 @@ def depth_bedgraph(spark, d):
     return layout.bedgraph(_agp(spark, d), c.select("ctg", F.col("re_sites").alias("depth")), 10)
 
 
-# --- sequences -------------------------------------------------------------------------------------------------------------
+# --- sequences ---
 
 _SITES = ("GATC", "GAATC", "GATTC", "GACTC", "GAGTC")
 _COUNT = " + ".join(f"len(regexp_extract_all({{0}}, '{s}'))" for s in _SITES)
@@ -645,7 +645,7 @@ def cigar_ranges(spark, d):
     return o.select("k", r["start"].alias("start"), r["end"].alias("end"))
 
 
-# --- alignments -----------------------------------------------------------------------------------------------------------
+# --- alignments ---
 
 
 @query(with_("paf", " SELECT line FROM paf WHERE mapq >= 10 AND least(qlen, rlen) >= 300 AND rend - rstart >= 80 AND de IS NOT NULL"))
@@ -686,7 +686,7 @@ def interval_overlap(spark, d):
     return rounded(align.shared_span(a, b, "qname"), "pct")
 
 
-# --- evaluation -----------------------------------------------------------------------------------------------------------
+# --- evaluation ---
 
 
 @query(with_("links", """, lk AS (SELECT ctg_i AS ctg, ctg_j AS other, links FROM links UNION ALL SELECT ctg_j, ctg_i, links FROM links),
@@ -758,7 +758,7 @@ def scaffold_dominant(spark, d):
     return evaluate.top_dominant(c, 2)
 
 
-# --- whole groups: iterative operators without an equivalent in SQL --------------------------------------------------------
+# --- whole groups: iterative operators without an equivalent in SQL ---
 
 
 @query()
