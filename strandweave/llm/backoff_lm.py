@@ -42,7 +42,7 @@ class Backoff:
     partitions: int = 128
 
 
-# --- packed arrays -----------------------------------------------------------------------------------------------------
+# --- packed arrays ---
 
 
 def planes(x: np.ndarray) -> bytes:

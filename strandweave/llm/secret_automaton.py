@@ -57,7 +57,7 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-# --- regex to automaton ------------------------------------------------------------------------------------------------
+# --- regex to automaton ---
 
 
 def _class(text: str, k: int) -> tuple[frozenset[int], int]:
@@ -248,7 +248,7 @@ def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     return Scanner(rules, compile_rules(anchors, True), forward, tuple(compile_rules([reverse(t)], False) for t in anchors))
 
 
-# --- scanning ----------------------------------------------------------------------------------------------------------
+# --- scanning ---
 
 LANES = 2048
 

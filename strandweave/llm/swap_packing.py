@@ -38,7 +38,7 @@ class Packing:
     salt_rows: int = 4096
 
 
-# --- tokens ------------------------------------------------------------------------------------------------------------
+# --- tokens ---
 
 _encoders: dict = {}
 
@@ -93,7 +93,7 @@ def pieces_of(docs: DataFrame, p: Packing) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-# --- patterns ----------------------------------------------------------------------------------------------------------
+# --- patterns ---
 
 Pattern = tuple[int, ...]
 
