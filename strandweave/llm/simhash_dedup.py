@@ -33,7 +33,8 @@ BITS, WORDS = 256, 4
 class Near:
     """Shingle width and least similarity; recall aimed at for a pair of exactly that similarity, by
     the recursion, and standard deviations that its differing bits may exceed what is expected; strip width and
-    largest partial weight (from a centre) that passes; rows of a list that is compared by brute force."""
+    largest partial weight (from a centre) that passes; rows of a list that is compared by brute force, in the first and in later
+    rounds; candidates of a row that the first round tests, and by how much this grows from round to round."""
 
     width: int = 5
     similarity: float = 0.8
@@ -42,12 +43,13 @@ class Near:
     strip: int = 32
     weight: int = 8
     list_rows: int = 4096
+    deep_rows: int = 512
     seed: int = 7
     first: int = 2
     grow: int = 8
 
 
-# --- fingerprints ------------------------------------------------------------------------------------------------------
+# --- fingerprints ---
 
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=U) * U(0xA0761D6478BD642F))
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -91,7 +93,7 @@ def prints(docs: DataFrame, p: Near) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, g0 long, g1 long, f0 long, f1 long, f2 long, f3 long")
 
 
-# --- the recursion -----------------------------------------------------------------------------------------------------
+# --- the recursion ---
 
 
 def differing(similarity: float) -> float:
@@ -175,10 +177,10 @@ def lists(classes: DataFrame, p: Near, lv: Levels) -> DataFrame:
     return classes.select(*_NAMES).mapInArrow(run, f"list long, {_PRINT}")
 
 
-def tiled(members: DataFrame, p: Near) -> DataFrame:
-    """Adds tile_a and tile_b: lists beyond ``list_rows`` are compared in pairs of tiles, each in a task of its own."""
-    big = members.groupBy("list").count().where(F.col("count") > p.list_rows)
-    big = big.select(F.col("list").alias("big_list"), F.ceil(F.col("count") / p.list_rows).cast("int").alias("tiles"))
+def tiled(members: DataFrame, most: int) -> DataFrame:
+    """Adds tile_a and tile_b: lists of over ``most`` rows are compared in pairs of tiles, each in a task of its own."""
+    big = members.groupBy("list").count().where(F.col("count") > most)
+    big = big.select(F.col("list").alias("big_list"), F.ceil(F.col("count") / most).cast("int").alias("tiles"))
     out = members.join(big, F.col("list") == F.col("big_list"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     out = out.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -244,7 +246,7 @@ def candidates(members: DataFrame, p: Near, bits: int, most: int | None) -> Data
     return members.groupBy("list", "tile_a", "tile_b").applyInArrow(run, "a long, b long, list long, deep long")
 
 
-# --- verification and components ---------------------------------------------------------------------------------------
+# --- verification and components ---
 
 
 def shingles(docs: DataFrame, p: Near) -> DataFrame:
@@ -306,9 +308,9 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
     some = classes.where("n > 0")
     lv = levels(max(1, some.count()), p)
     label = some.select(F.col("cid").alias("node"), F.col("cid").alias("label")).limit(0)
-    members = tiled(lists(some, p, lv), p)
+    members = tiled(lists(some, p, lv), p.list_rows)
     most: int | None = p.first
-    sets = None
+    sets = tested = None
     found = materialise(candidates(members.withColumn("label", F.col("cid")), p, lv.bits, most))
     while True:
         pairs = found.where("deep is null").select("a", "b").distinct()
@@ -318,7 +320,11 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
             named = texts.withColumnRenamed("doc_id", "cid")
             sets = materialise(shingles(named.join(asked, "cid", "left_semi").dropDuplicates(["cid"]), p))
             deeper = deep.select("list").distinct()
-            members = materialise(tiled(lists(some.join(asked, "cid", "left_semi"), p, lv).join(deeper, "list", "left_semi"), p))
+            members = materialise(tiled(lists(some.join(asked, "cid", "left_semi"), p, lv).join(deeper, "list", "left_semi"), p.deep_rows))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
         edges = verified(pairs, sets, p.similarity)
         links = edges.union(label.where("node <> label").select("node", "label"))
         label = components(links)
