@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.common import materialise
 from strandweave.llm.swap_packing import encoder
-from strandweave.llm.textkernel import pieces, text_buffer
+from strandweave.llm.textkernel import pieces, text_buffer, words
 from strandweave.llm.textstats import scripts, stats
 
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "token_entropy", "tokens_per_word")
@@ -60,11 +61,17 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(counts * np.log2(counts)).sum() / np.log2(len(ids)))
 
 
-def measures(text: str, points: int, n_words: int, p: Bands) -> tuple[int, int, float, float, float, float, float]:
-    ids = np.asarray(encoder(p.vocabulary, ()).encode_to_numpy(text))
-    model, is_byte = piece_model(p.pieces)
-    parts = np.asarray(model.encode(text, num_threads=1), np.int64)
-    return len(ids), len(parts), points / max(1, len(ids)), points / max(1, len(parts)), float(is_byte[parts].mean()) if len(parts) else 0.0, entropy(ids), len(ids) / max(1, n_words)
+def piece_counts(data: np.ndarray, offsets: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, byte pieces) of the words of each text. A word's pieces do not depend on its neighbours, so each distinct word is encoded once."""
+    model, is_byte = piece_model(name)
+    start, end, doc, h = words(data, offsets)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    parts = model.encode([data[start[k] : end[k]].tobytes().decode() for k in first], num_threads=1) if len(first) else []
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    fallback = np.concatenate([[0], np.cumsum(is_byte[np.fromiter(chain.from_iterable(parts), np.int64, int(ends[-1]))])])
+    n = len(offsets) - 1
+    return tuple(np.bincount(doc, weights=x[which], minlength=n).astype(np.int64) for x in (size, fallback[ends[1:]] - fallback[ends[:-1]]))
 
 
 def measured(docs: DataFrame, p: Bands) -> DataFrame:
@@ -78,10 +85,14 @@ def measured(docs: DataFrame, p: Bands) -> DataFrame:
             for lo, hi in pieces(offsets):
                 own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 s = stats(own, off)
-                rows = [measures(own[off[k] : off[k + 1]].tobytes().decode(), int(s["chars"][k]), int(s["n_words"][k]), p) for k in range(hi - lo)]
+                ids = [np.asarray(encoder(p.vocabulary, ()).encode_to_numpy(own[off[k] : off[k + 1]].tobytes().decode())) for k in range(hi - lo)]
+                tokens = np.array([len(x) for x in ids], np.int64)
+                n_pieces, n_bytes = piece_counts(own, off, p.pieces)
+                over = lambda a, b: a / np.maximum(b, 1)
+                values = (over(s["chars"], tokens), over(s["word_chars"], n_pieces), over(n_bytes, n_pieces), np.array([entropy(x) for x in ids]), over(tokens, s["n_words"]))
                 band = [x or y for x, y in zip(langs[lo:hi], scripts(own, off), strict=True)]
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(band), *(pa.array(s[c].astype(np.int64)) for c in COUNTS)]
-                cols += [pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(2 + len(MEASURES))]
+                cols += [pa.array(tokens), pa.array(n_pieces), *(pa.array(v.astype(float)) for v in values)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -104,7 +115,8 @@ def quality(docs: DataFrame, p: Bands = Bands()) -> DataFrame:
     by_band = good.groupBy(F.col("band").alias("b"), F.col("octave").alias("o")).agg(F.count("*").alias("n"), *thirds("b")).where(enough).drop("n")
     by_octave = good.groupBy(F.col("octave").alias("oo")).agg(F.count("*").alias("n"), *thirds("o")).where(enough).drop("n")
     for_all = good.agg(*thirds("a")).first()
-    out = own.join(by_band, (F.col("band") == F.col("b")) & (F.col("octave") == F.col("o")), "left").join(by_octave, F.col("octave") == F.col("oo"), "left")
+    out = own.join(by_band, (F.col("band") == F.col("b")) & (F.col("octave") == F.col("o")), "left")
+    out = out.join(F.broadcast(by_octave), F.col("octave") == F.col("oo"), "left")  # at most 64 octaves
     limits = []
     inside = F.lit(True)
     for m, floor in zip(MEASURES, p.floor, strict=True):

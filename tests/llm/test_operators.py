@@ -85,11 +85,13 @@ def test_token_measures(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     df = spark.createDataFrame([(k, t, None) for k, t in own.items()], "doc_id long, text string, lang string")
     for r in token_quality.quality(df).collect():
-        ids, parts = bpe.encode(own[r.doc_id], add_special_tokens=False).ids, sp.encode(own[r.doc_id])
+        w = WORD.findall(own[r.doc_id])
+        ids, parts = bpe.encode(own[r.doc_id], add_special_tokens=False).ids, [x for y in w for x in sp.encode(y)]
         c = Counter(ids)
         h = -sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values()) / math.log2(len(ids)) if len(ids) > 1 else 1.0
         assert (r.n_tokens, r.n_pieces) == (len(ids), len(parts))
         assert math.isclose(r.chars_per_token, len(own[r.doc_id]) / len(ids)) and math.isclose(r.token_entropy, h)
+        assert math.isclose(r.tokens_per_word, len(ids) / len(w)) and math.isclose(r.chars_per_piece, sum(map(len, w)) / len(parts))
         assert math.isclose(r.byte_share, sum(sp.is_byte(x) for x in parts) / len(parts))
         assert not (r.base_failed and r.kept)
 
