@@ -296,9 +296,10 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
 
     class_id is the smallest doc_id of the same shingle set, cluster_id that of the near-duplicate group, and keep is
     true for the group's representative, whose doc_id is the cluster_id. Words are runs without white space, as they are;
-    a text of fewer words than a shingle is one shingle; null, empty and blank texts are one class. Repeated rows of one
-    doc_id with differing texts link their groups, as the document is in both; with equal texts they are copies (keep
-    holds for each of them; ``representatives`` lets one pass). An empty table gives no row; other columns are ignored.
+    a text of fewer words than a shingle is one shingle; null, empty and blank texts are one class. Rows that repeat a
+    doc_id each have the class of their own text; with equal texts they are copies (keep holds for each of them;
+    ``representatives`` lets one row of a doc_id pass). Ties go to the smallest doc_id. An empty table gives no row; other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
