@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import materialise
-from strandweave.llm.textkernel import U, text_buffer, windows, words
+from strandweave.llm.textkernel import U, pieces, text_buffer, windows, words
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,16 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unplanes(raw), dtype=U)
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of all words; arrays by byte are made for a part of the texts at a time."""
+    doc, word = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for lo, hi in pieces(offsets):
+        _, _, d, h = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        doc.append(d + lo)
+        word.append(h)
+    return np.concatenate(doc), np.concatenate(word)
+
+
 def chunked(docs: DataFrame, p: Backoff) -> DataFrame:
     """(chunk, ids, ends, texts, n_words): runs of documents, their texts end to end and compressed."""
 
@@ -84,7 +94,7 @@ def chunked(docs: DataFrame, p: Backoff) -> DataFrame:
             nonlocal made, ids, sizes, parts
             raw = b"".join(parts)
             ends = np.cumsum(sizes)
-            _, _, doc, _ = words(np.frombuffer(raw, np.uint8), np.append(0, ends))
+            doc, _ = hashed_words(np.frombuffer(raw, np.uint8), np.append(0, ends))
             row = [[(task << 32) + made], [ids], [ends.tolist()], [zstandard.compress(raw, 1)], [len(doc)]]
             made, ids, sizes, parts = made + 1, [], [], []
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64())
@@ -111,7 +121,7 @@ def chunked(docs: DataFrame, p: Backoff) -> DataFrame:
 def grams(texts: bytes, ends: np.ndarray, p: Backoff) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(text number of each word, for each order (hash, number of the first word) of all n-grams)."""
     data = np.frombuffer(zstandard.decompress(texts), np.uint8) if texts else np.zeros(0, np.uint8)
-    _, _, doc, word = words(data, np.append(0, np.asarray(ends, np.int64)))
+    doc, word = hashed_words(data, np.append(0, np.asarray(ends, np.int64)))
     cut = U(64 - p.bits)
     out = [(word >> cut, np.arange(len(word)))]
     for n in range(2, p.order + 1):
