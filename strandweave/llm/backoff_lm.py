@@ -37,7 +37,7 @@ class Backoff:
     alpha: float = 0.4
     least: int = 2
     bits: int = 52
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
     partition_rows: int = 400_000
     partitions: int = 128
 
