@@ -68,22 +68,35 @@ def below_iqr(frame: DataFrame, column: str, times: float) -> DataFrame:
     return frame.crossJoin(F.broadcast(q)).where(F.col(column) <= F.col("q")[1] + times * (F.col("q")[1] - F.col("q")[0])).drop("q")
 
 
-def neighbour_ranks(links: DataFrame, names: DataFrame) -> DataFrame:
-    """(ctg, other, rank): every other name, by links (0 if none) falling, then name; from 0. Dense: n*(n-1) rows of a filtered set."""
-    a, b = names.select("ctg"), names.select(F.col("ctg").alias("other"))
-    grid = a.join(b, F.col("ctg") != F.col("other"))
-    w = Window.partitionBy("ctg").orderBy(F.col("links").desc(), "other")
-    return grid.join(both_ways(links), ["ctg", "other"], "left").withColumn("links", F.coalesce("links", F.lit(0))).select("ctg", "other", (F.row_number().over(w) - 1).alias("rank"))
-
+def rank_sums(links: DataFrame, names: DataFrame, top: int) -> DataFrame:
+    """(ctg, rank_sum): over all pairs of a contig's ``top`` neighbours, the smaller of the ranks they give each other.
 
-def rank_sums(ranks: DataFrame, top: int) -> DataFrame:
-    """(ctg, rank_sum): over all pairs of a contig's ``top`` neighbours, the smaller of the ranks they give each other."""
-    near = ranks.where(F.col("rank") < top)
-    a = near.select("ctg", F.col("other").alias("a"))
-    b = near.select("ctg", F.col("other").alias("b"))
-    duo = a.join(b, "ctg").where(F.col("a") < F.col("b"))
-    ab = ranks.select(F.col("ctg").alias("a"), F.col("other").alias("b"), F.col("rank").alias("rab"))
-    ba = ranks.select(F.col("ctg").alias("b"), F.col("other").alias("a"), F.col("rank").alias("rba"))
+    A contig ranks every other name, by links (0 if none) falling, then name; from 0. Linked names have their place among
+    the links; names without links follow by counting (all links, then the unlinked names before), so the n*(n-1) ranks
+    are never written out. Only the names themselves are numbered in one place.
+    """
+    names = names.select("ctg").distinct()
+    place = names.select(F.col("ctg").alias("other"), (F.row_number().over(Window.orderBy("ctg")) - 1).alias("place"))
+    known = both_ways(links).where("ctg <> other").join(names, "ctg", "left_semi").join(names.withColumnRenamed("ctg", "other"), "other", "left_semi")
+    w = Window.partitionBy("ctg").orderBy(F.col("links").desc(), "other")
+    linked = known.where("links > 0").select("ctg", "other", (F.row_number().over(w) - 1).alias("rank"))
+    degree = names.join(linked.groupBy("ctg").agg(F.count("*").alias("n")), "ctg", "left").select("ctg", F.coalesce("n", F.lit(0)).alias("n"))
+    # a contig with fewer links than top goes on with names in their order: under 2 * top of them hold enough that are neither linked nor its own
+    few = F.broadcast(place.where(F.col("place") < 2 * top).select("other"))
+    spare = degree.where(F.col("n") < top).join(few, F.col("ctg") != F.col("other")).join(linked.select("ctg", "other"), ["ctg", "other"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("ctg").orderBy("other")) - 1
+    near = linked.where(F.col("rank") < top).select("ctg", "other").union(spare.withColumn("at", F.col("n") + nth).where(F.col("at") < top).select("ctg", "other"))
+    duo = near.select("ctg", F.col("other").alias("a")).join(near.select("ctg", F.col("other").alias("b")), "ctg").where(F.col("a") < F.col("b"))
+    pairs = duo.select("a", "b").distinct()
+    asked = pairs.select(F.col("a").alias("ctg"), F.col("b").alias("other")).union(pairs.select(F.col("b"), F.col("a")))
+    row = linked.select("ctg", "other", "rank", F.lit(1).alias("known")).unionByName(asked.select("ctg", "other", F.lit(None).cast("int").alias("rank"), F.lit(0).alias("known")))
+    upto = Window.partitionBy("ctg").orderBy("other").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = row.withColumn("before", F.sum("known").over(upto)).withColumn("own", F.max("rank").over(Window.partitionBy("ctg", "other"))).where("known = 0")
+    placed = met.join(place, "other").join(degree, "ctg")
+    unlinked = F.col("n") + F.col("place") - (F.col("ctg") < F.col("other")).cast("long") - F.col("before")
+    rank = placed.select("ctg", "other", F.coalesce("own", unlinked).alias("rank"))
+    ab = rank.select(F.col("ctg").alias("a"), F.col("other").alias("b"), F.col("rank").alias("rab"))
+    ba = rank.select(F.col("ctg").alias("b"), F.col("other").alias("a"), F.col("rank").alias("rba"))
     return duo.join(ab, ["a", "b"]).join(ba, ["a", "b"]).groupBy("ctg").agg(F.sum(F.least("rab", "rba")).alias("rank_sum"))
 
 

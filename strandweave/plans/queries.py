@@ -176,7 +176,7 @@ def symmetric_coo(spark, d):
     return links.symmetric(f.links, f.contigs, loops=True)
 
 
-#: One step of Markov clustering on a banded graph: neighbours by number, so rows stay sparse at any scale.
+#: One step of Markov clustering on a banded graph: links between neighbours by number only; mcl_iteration_all takes all links.
 _BAND = """, band AS (SELECT ctg_i, ctg_j, links FROM links WHERE abs(substr(ctg_i, 4)::BIGINT - substr(ctg_j, 4)::BIGINT) <= 3),
 coo AS (SELECT ctg_i AS i, ctg_j AS j, links::DOUBLE AS v FROM band UNION ALL SELECT ctg_j, ctg_i, links FROM band UNION ALL SELECT ctg, ctg, 1 FROM contigs),
 n0 AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM coo),
@@ -198,6 +198,13 @@ def mcl_iteration(spark, d):
     return rounded(matrix.step(start, 2.0, 0.02), "v")
 
 
+@query()
+def mcl_iteration_all(spark, d):
+    """The same step with all links."""
+    f = Frames(spark, d)
+    return rounded(matrix.step(matrix.normalised(links.symmetric(f.links, f.contigs, loops=True)), 2.0, 0.02), "v")
+
+
 @query(with_("links", " SELECT ctg FROM contigs WHERE ctg NOT IN (SELECT ctg_i FROM links UNION SELECT ctg_j FROM links)"))
 def isolated_contigs(spark, d):
     f = Frames(spark, d)
@@ -261,7 +268,7 @@ rs AS (SELECT a.ctg, sum(least(x.rank, y.rank))::BIGINT AS rank_sum FROM near a
 
 def _rank_sums(spark, d):
     f = Frames(spark, d)
-    return filters.rank_sums(filters.neighbour_ranks(f.links, f.contigs.where("hap = 1")), 5)
+    return filters.rank_sums(f.links, f.contigs.where("hap = 1"), 5)
 
 
 @query(with_("links", _RANKS + " SELECT ctg, rank_sum FROM rs"))
@@ -275,6 +282,18 @@ def rank_sum_filter(spark, d):
     return filters.below_iqr(_rank_sums(spark, d), "rank_sum", 1.5).select("ctg", "rank_sum")
 
 
+@query()
+def rank_sum_all(spark, d):
+    """Over all contigs; the SQL of rank_sum needs a grid of them and so takes one region."""
+    f = Frames(spark, d)
+    return filters.rank_sums(f.links, f.contigs, 5)
+
+
+@query()
+def rank_sum_filter_all(spark, d):
+    return filters.below_iqr(rank_sum_all(spark, d), "rank_sum", 1.5).select("ctg", "rank_sum")
+
+
 # --- coverage ---
 
 RES = 20
@@ -593,6 +612,14 @@ def haplotype_kmers(spark, d):
     return sequence.kmer_composition(s, ref, 9)
 
 
+@query()
+def haplotype_kmers_all(spark, d):
+    """With all documents as reference."""
+    s = proxy.sequences(spark, d)
+    number = F.substring("name", 4, 20).cast("long")
+    return sequence.kmer_composition(s, s.select(F.concat(F.lit("c"), (number % 3).cast("string")).alias("source"), "seq"), 9)
+
+
 @query(with_("seqs", " SELECT length(r)::BIGINT AS length, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, 'N+')) AS r FROM seqs) GROUP BY 1"))
 def n_runs(spark, d):
     return sequence.n_runs(proxy.sequences(spark, d))
@@ -772,9 +799,9 @@ def mcl_clusters(spark, d):
 
 @query()
 def mcl_sparse(spark, d):
-    """The relational way, on the banded graph."""
+    """The relational way, with all links."""
     f = Frames(spark, d)
-    return matrix.markov_cluster(links.symmetric(banded(f, 1), f.contigs, loops=True), 2.0, least=0.01, rounds=12)
+    return matrix.markov_cluster(links.symmetric(f.links, f.contigs, loops=True), 2.0, least=0.01, rounds=12)
 
 
 @query()
