@@ -57,6 +57,12 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
+def stupid_backoff_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 6 with two words of context; the SQL of op6_stupid_backoff has one."""
+    scored = backoff_lm.score_documents(table(spark, sf_dir, "documents"), backoff_lm.Backoff(order=3))
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws", "shards")
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_pairwise_quality": op5_pairwise_quality,
     "op6_stupid_backoff": op6_stupid_backoff,
+    "stupid_backoff_3": stupid_backoff_3,
     "op7_source_mixing": op7_source_mixing,
     "op8_swap_packing": op8_swap_packing,
     "op9_toxic_neighbours": op9_toxic_neighbours,

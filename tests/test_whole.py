@@ -1,5 +1,8 @@
 """Operators over whole inputs against brute force."""
 
+import math
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -83,3 +86,21 @@ def test_kmers_of_all_references(spark, sf):
                 own.setdefault(f"c{int(r.name[3:]) % 3}", set()).add(w)
     got = {r.source: (r.kmers, r.n) for r in plans.QUERIES["haplotype_kmers_all"](spark, sf).collect()}
     assert got == {s: (len(ws), sum(count[w] for w in ws)) for s, ws in own.items()}
+
+
+def test_backoff_with_two_words_of_context(spark, sf):
+    from strandweave.llm import queries
+
+    own = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    count = Counter(tuple(w[k : k + n]) for w in own.values() for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(map(len, own.values()))
+
+    def score(gram):
+        if len(gram) == 1:
+            return count[gram] / total
+        return count[gram] / count[gram[:-1]] if count[gram] >= 2 else 0.4 * score(gram[1:])
+
+    for r in queries.QUERIES["stupid_backoff_3"](spark, sf).collect():
+        grams = [tuple(own[r.doc_id][max(0, k - 2) : k + 1]) for k in range(len(own[r.doc_id]))]
+        assert r.n_words == len(grams) and abs(r.log_score - sum(math.log(score(g)) for g in grams)) < 1e-3
+        assert r.n_backed_off == sum(len(g) > 1 and count[g] < 2 for g in grams)
