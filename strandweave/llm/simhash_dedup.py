@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
     true for the group's representative, whose doc_id is the cluster_id. Words are runs without white space, as they are;
     a text of fewer words than a shingle is one shingle; null, empty and blank texts are one class. Rows that repeat a
     doc_id each have the class of their own text; with equal texts they are copies (keep holds for each of them;
-    ``representatives`` lets one row of a doc_id pass). Ties go to the smallest doc_id. An empty table gives no row; other
+    ``representatives`` lets one row of a group pass). Ties go to the smallest doc_id. An empty table gives no row; other
     columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -342,7 +342,13 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, p: Near = Near()) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, with all its columns; rows without a doc_id stay."""
-    keep = near_duplicates(docs, p).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each group of near-duplicates, with all its columns; rows without a doc_id stay.
+
+    Rows are grouped by their own texts, whatever other row has their doc_id; a group keeps a row of its smallest doc_id.
+    """
+    rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()))
+    some = rows.where("doc_id is not null")
+    groups = near_duplicates(some.select(F.col("row_").alias("doc_id"), "text"), p).select(F.col("doc_id").alias("row_"), "cluster_id")
+    first = F.min(F.struct(F.col("doc_id"), F.col("row_"))).alias("first")
+    keep = some.select("row_", "doc_id").join(groups, "row_").groupBy("cluster_id").agg(first).select(F.col("first.row_").alias("row_"))
+    return some.join(keep, "row_", "left_semi").unionByName(rows.where("doc_id is null")).drop("row_").select(*docs.columns)

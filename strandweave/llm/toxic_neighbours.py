@@ -244,6 +244,23 @@ def fit(docs: DataFrame, labels: DataFrame, p: Neighbours) -> Model | None:
     return m
 
 
+def rated(m: Model | None, ids: list, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+    """(score, evidence) of each text; ``ids`` are their doc_ids."""
+    n = len(ids)
+    score, evidence = np.zeros(n), [[] for _ in range(n)]
+    if m is not None:
+        score[:] = m.none
+        doc, term, count = counted_terms(data, offsets, m.p, m.vocabulary)
+        w = vectors(doc, term, count, m.idf, n)
+        at = np.searchsorted(doc, np.arange(n + 1))
+        for k in np.unique(doc):
+            vote, near, cos = m.vote(term[at[k] : at[k + 1]].astype(np.int64), w[at[k] : at[k + 1]], ids[k])
+            if len(near):
+                score[k] = m.calibrated(vote)
+                evidence[k] = [{"doc_id": int(m.index.ids[i]), "cosine": float(c), "toxic": int(m.index.toxic[i])} for i, c in zip(near[:3], cos[:3], strict=True)]
+    return score, evidence
+
+
 def rate_toxicity(docs: DataFrame, labels: DataFrame, p: Neighbours = Neighbours()) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) of every row of ``docs``.
 
@@ -261,19 +278,7 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, p: Neighbours = Neighbours
         m = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for part, data, offsets in chunks(batches):
-            n = part.num_rows
-            score, evidence = np.zeros(n), [[] for _ in range(n)]
-            if m is not None:
-                score[:] = m.none
-                doc, term, count = counted_terms(data, offsets, m.p, m.vocabulary)
-                w = vectors(doc, term, count, m.idf, n)
-                ids = part.column(0).to_pylist()
-                at = np.searchsorted(doc, np.arange(n + 1))
-                for k in np.unique(doc):
-                    vote, near, cos = m.vote(term[at[k] : at[k + 1]].astype(np.int64), w[at[k] : at[k + 1]], ids[k])
-                    if len(near):
-                        score[k] = m.calibrated(vote)
-                        evidence[k] = [{"doc_id": int(m.index.ids[i]), "cosine": float(c), "toxic": int(m.index.toxic[i])} for i, c in zip(near[:3], cos[:3], strict=True)]
+            score, evidence = rated(m, part.column(0).to_pylist(), data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(evidence, kind)], names=["doc_id", "score", "neighbours"])
 
     out = own.mapInArrow(run, "doc_id long, score double, neighbours array<struct<doc_id long, cosine double, toxic int>>")
@@ -281,9 +286,19 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, p: Neighbours = Neighbours
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Neighbours = Neighbours()) -> DataFrame:
-    """The rows of ``docs`` that are not rated toxic, with all their columns; rows without a doc_id are rated like others.
+    """The rows of ``docs`` that are not rated toxic, with all their columns.
 
-    Rows of one doc_id go if any of them is toxic.
+    Each row goes or stays by its own text, in the pass that rates it; rows without a doc_id, or with one that comes more
+    than once, are rated like others.
     """
-    toxic = rate_toxicity(docs, labels, p).where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(toxic, docs.doc_id.eqNullSafe(F.col("toxic_id")), "left_anti")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(own, labels, p))  # bounded as in rate_toxicity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in chunks(batches):
+            score, _ = rated(shared.value, part.column(0).to_pylist(), data, offsets)
+            row = part.select(list(range(2, part.num_columns)))
+            yield row.filter(pa.array(score < 0.5))
+
+    named = [F.col("doc_id").cast("long").alias("rated_id_"), F.col("text").alias("rated_text_")]
+    return docs.select(*named, *docs.columns).mapInArrow(run, docs.schema)
