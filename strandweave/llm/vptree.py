@@ -31,8 +31,12 @@ class Search:
     least_shards: int = 24
 
 
-#: So many more than k are kept while scores come from matrix products, whose last bits depend on the place in the matrix.
-SLACK = 12
+def exact_scores(q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``a`` of q and ``b`` of x, summed in order of components, so equal vectors tie exactly."""
+    out = np.zeros(len(a))
+    for c in range(q.shape[1]):
+        out += q[a, c] * x[b, c]
+    return out
 
 
 class Tree:
@@ -78,15 +82,18 @@ class Tree:
 
 
 class Best:
-    """The k best rows of every query so far, by inner product, ties to the smaller id."""
+    """The k best rows of every query so far, by inner product, ties to the smaller id.
+
+    The last bits of a matrix product depend on the place in the matrix, so it only picks the rows that may be among the
+    k best, within ``slack`` (its rounding); these are scored exactly before any is left out.
+    """
 
     def __init__(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, bound2: float):
         self.q, self.q_ids, self.x, self.x_ids, self.k, self.bound2 = q, q_ids, x, x_ids, k, bound2
         self.norm = np.sqrt((q**2).sum(1))
-        self.kept = k + SLACK
-        self.score = np.full((len(q), self.kept), -np.inf)
-        self.ids = np.full((len(q), self.kept), np.iinfo(np.int64).max)
-        self.rows = np.zeros((len(q), self.kept), np.int64)
+        self.slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * math.sqrt(bound2) * self.norm
+        self.score = np.full((len(q), k), -np.inf)
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
 
     def reach(self, at: np.ndarray) -> np.ndarray:
         """Distance, in the metric space, of the k-th best; a little more, for rounding."""
@@ -102,15 +109,20 @@ class Best:
         own = ids == self.q_ids[at][:, None]
         score[own] = -np.inf
         ids[own] = np.iinfo(np.int64).max
-        rows = np.hstack([self.rows[at], np.broadcast_to(rows, score.shape)])
-        score, ids = np.hstack([self.score[at], score]), np.hstack([self.ids[at], ids])
-        if score.shape[1] > 2 * self.kept:  # all that tie with the last one kept stay for the tie rule
-            last = np.partition(score, score.shape[1] - self.kept, axis=1)[:, -self.kept]
-            wide = int(min(score.shape[1], max((score >= last[:, None]).sum(1).max(), self.kept)))
-            part = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
-            score, ids, rows = (np.take_along_axis(v, part, 1) for v in (score, ids, rows))
-        by = np.lexsort((ids, -score), axis=1)[:, : self.kept]
-        self.score[at], self.ids[at], self.rows[at] = (np.take_along_axis(v, by, 1) for v in (score, ids, rows))
+        both = np.hstack([self.score[at], score])
+        kth = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k]
+        row, col = np.nonzero((score >= (kth - self.slack[at])[:, None]) & ~own)
+        exact = np.full(score.shape, -np.inf)
+        exact[row, col] = exact_scores(self.q, at[row], self.x, rows[col])
+        wide = int(np.bincount(row, minlength=1).max())
+        if not wide:
+            return
+        if wide < len(rows):
+            part = np.argpartition(-exact, wide - 1, axis=1)[:, :wide]
+            exact, ids = np.take_along_axis(exact, part, 1), np.take_along_axis(ids, part, 1)
+        score, ids = np.hstack([self.score[at], exact]), np.hstack([self.ids[at], ids])
+        by = np.lexsort((ids, -score), axis=1)[:, : self.k]
+        self.score[at], self.ids[at] = np.take_along_axis(score, by, 1), np.take_along_axis(ids, by, 1)
 
 
 def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,8 +134,7 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     best = Best(q, q_ids, x, x_ids, s.k, bound2)
     Tree(points, s.leaf).search(lift(q * (m / best.norm)[:, None], np.zeros(len(q))), best, s.factor)
     row, rank = np.nonzero(np.isfinite(best.score))
-    score = np.cumsum(q[row] * x[best.rows[row, rank]], axis=1)[:, -1]  # summed in order of components, so equal vectors tie exactly
-    return q_ids[row], best.ids[row, rank], score
+    return q_ids[row], best.ids[row, rank], best.score[row, rank]
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
