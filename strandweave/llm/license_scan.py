@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +51,31 @@ KNOWN = (
     ("Unlicense", UNLICENSE_HEAD),
 )
 
+#: Headings under which the shorter texts also come.
+HEADINGS = {"MIT": ("The MIT License", "The MIT License (MIT)"), "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'), "Zlib": ("zlib License", "The zlib License")}
+#: The end of the terms of the licences that go on with instructions for their use.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(licence id, text) of the whole licences in ``licences``: as they are, under their headings, and up to the end of their terms."""
+    texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+    texts.append(("MIT", MIT.removeprefix("MIT License\n")))
+    headed = [(n, f"{h}\n{t}") for n, t in texts for h in HEADINGS.get(n, ())]
+    ended = [(n, t[: t.index(END) + len(END)]) for n, t in texts if END in t]
+    return (*texts, *headed, *ended)
+
+
 #: A line that only states who holds the rights, and since when.
 COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:copyright[ \t:,(©0-9]|\(c\)|©|all rights reserved)[^\n]*"
 
+#: The same behind a comment mark.
+COMMENTED_LINE = COPYRIGHT_LINE.replace(r"[ \t]*", r"[ \t#*/;%!<>|'\".-]*", 1)
+
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, line: str = COPYRIGHT_LINE) -> Column:
     """Lower case, no copyright lines, single blanks between words of letters and digits, one spelling for each word."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), line, " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
     for old, new in SPELLINGS:
@@ -63,24 +83,30 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """One row per digest: a digest that several known texts share has the smallest licence id."""
-    rows = spark.createDataFrame(list(known), "license string, known_text string")
-    return rows.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(list(known if known is not None else (*KNOWN, *whole_texts())), "license string, known_text string")
+    text = F.explode(F.array(*(canonical(F.col("known_text"), line) for line in (COPYRIGHT_LINE, COMMENTED_LINE)))).alias("norm")
+    return rows.select("license", text).select("license", F.sha2("norm", 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_norm_chars, digest, license, is_license) of each row of ``docs``; license is null where no known text equals the whole one.
 
-    Nulls and empty texts have the digest of the empty text and no licence. A null doc_id stays. Repeated rows each give
-    a row, ties (texts alike after normalising) the same licence; an empty table gives none; other columns are ignored,
-    whatever their names. The known texts are code, tens of rows, so their side of the hash join has a fixed bound.
+    A text with copyright lines behind comment marks is also looked up without these; its digest stays that of the text
+    with them. Nulls and empty texts have the digest of the empty text and no licence. A null doc_id stays. Repeated rows
+    each give a row, ties (texts alike after normalising) the same licence; an empty table gives none; other columns are
+    ignored, whatever their names. The known texts are code, tens of rows, so their side of the hash joins has a fixed bound.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    norm = docs.select("doc_id", canonical(F.col("text")).alias("norm"))
-    keyed = norm.select("doc_id", F.length("norm").cast("long").alias("n_norm_chars"), F.sha2("norm", 256).alias("digest"))
-    out = keyed.join(F.broadcast(known.select(F.col("digest"), F.col("license"))), "digest", "left")
-    return out.select("doc_id", "n_norm_chars", "digest", "license", F.col("license").isNotNull().alias("is_license"))
+    text = F.col("text")
+    bare = F.when(F.lower(text).rlike(COMMENTED_LINE), F.sha2(canonical(text, COMMENTED_LINE), 256))
+    norm = docs.select("doc_id", canonical(text).alias("norm"), bare.alias("bare"))
+    keyed = norm.select("doc_id", F.length("norm").cast("long").alias("n_norm_chars"), F.sha2("norm", 256).alias("digest"), "bare")
+    out = keyed.join(F.broadcast(known.select(F.col("digest"), F.col("license").alias("own"))), "digest", "left")
+    out = out.join(F.broadcast(known.select(F.col("digest").alias("bare"), F.col("license").alias("other"))), "bare", "left")
+    found = F.coalesce("own", "other")
+    return out.select("doc_id", "n_norm_chars", "digest", found.alias("license"), found.isNotNull().alias("is_license"))
 
 
 def _quoted(s: str) -> str:
