@@ -2,28 +2,34 @@
 
 1. Every text becomes its set of distinct word shingles; texts of one set are one class (exact copies end here).
 2. A class has a 256-bit SimHash of its set. Two sets of Jaccard J differ in about arccos(2J/(1+J))/pi of the bits.
-3. The recursion: a node takes a strip of random coordinates and many random centres on it; a fingerprint goes to the
-   child lists of the centres from which its partial weight on the strip is small. Close fingerprints share children
-   far oftener than others, so lists shrink quickly while near pairs stay together. Lists that are short enough are
-   compared pair by pair. The number of centres and levels follows from the target recall and the number of classes.
-4. Candidates (bits and set sizes allow the similarity) are verified on the sets themselves. Groups of near copies do not
+3. The recursion: a node of the tree takes a strip of random coordinates of its own and random centres on it; a fingerprint
+   goes on to the children whose centres it differs little from on the strip (small partial weight). Close fingerprints
+   share children far oftener than others, so lists shrink quickly while near pairs stay together. Lists that are short
+   enough are compared pair by pair. A node has about as many centres as let a near pair meet once; the whole tree is
+   repeated with other strips until the chance that a near pair meets reaches the target recall. Strip, weight, depth,
+   centres and repetitions follow from the number of classes.
+4. Sets of few shingles, whose fingerprints scatter, are found exactly besides: two of them are near if leaving out a few
+   shingles of each makes them equal, so classes that share such a rest are linked to one of them.
+5. Candidates (bits and set sizes allow the similarity) are verified on the sets themselves. Groups of near copies do not
    need all their pairs: a round tests each fingerprint's nearest candidates in *other* components only, each round
    more of them, until none is left untested between different components. So no link between components is lost.
-5. A component of verified links is a group of near-duplicates; its smallest doc_id represents it.
+6. A component of verified links is a group of near-duplicates; its smallest doc_id represents it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import fan_out, materialise
+from strandweave.llm.common import materialise
 from strandweave.llm.textkernel import U, mix, pieces, shingle_sets, text_buffer
 
 BITS, WORDS = 256, 4
@@ -32,18 +38,19 @@ BITS, WORDS = 256, 4
 @dataclass(frozen=True)
 class Near:
     """Shingle width and least similarity; recall aimed at for a pair of exactly that similarity, by
-    the recursion, and standard deviations that its differing bits may exceed what is expected; strip width and
-    largest partial weight (from a centre) that passes; rows of a list that is compared by brute force, in the first and in later
-    rounds; candidates of a row that the first round tests, and by how much this grows from round to round."""
+    the recursion, and standard deviations that its differing bits may exceed what is expected; most coordinates of a strip and
+    centres of a node; rows of a list that is compared by brute force, in the first and in later rounds; most shingles of a set
+    whose near ones are found exactly; candidates of a row that the first round tests, and by how much this grows from round to round."""
 
     width: int = 5
     similarity: float = 0.8
-    recall: float = 0.99
+    recall: float = 0.98
     margin: float = 2.8
-    strip: int = 32
-    weight: int = 8
+    strip: int = 64
+    centres: int = 1500
     list_rows: int = 4096
     deep_rows: int = 512
+    small: int = 14
     seed: int = 7
     first: int = 2
     grow: int = 8
@@ -73,106 +80,209 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def prints(docs: DataFrame, p: Near) -> DataFrame:
-    """(doc_id, n, g0, g1, f0..f3): size, digest and fingerprint of each text's shingle set."""
+    """(doc_id, n, g0, g1, f0..f3, few): size, digest and fingerprint of each text's shingle set, and the set itself if it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            size, digest, bits = [], [], []
+            size, digest, bits, few = [], [], [], []
             with np.errstate(over="ignore"):
                 for lo, hi in pieces(offsets):
                     for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width):
                         size.append(len(s))
                         digest.append(set_digest(s))
                         bits.append(fingerprint(s).view(np.int64))
+                        few.append(s.view(np.int64) if 0 < len(s) <= p.small else None)
             d = np.array(digest, np.int64).reshape(-1, 2)
             f = np.array(bits, np.int64).reshape(-1, WORDS)
-            cols = [batch.column(0), pa.array(size, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(f[:, k]) for k in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "g0", "g1", "f0", "f1", "f2", "f3"])
+            cols = [batch.column(0), pa.array(size, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(f[:, k]) for k in range(WORDS)), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "g0", "g1", "f0", "f1", "f2", "f3", "few"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, g0 long, g1 long, f0 long, f1 long, f2 long, f3 long")
+    schema = "doc_id long, n int, g0 long, g1 long, f0 long, f1 long, f2 long, f3 long, few array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-# --- the recursion ---
+# --- small sets ---
 
 
-def differing(similarity: float) -> float:
-    """Expected share of differing bits of two sets of equal size with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def left_out(n: int, similarity: float) -> int:
+    """Most shingles to leave out of a set of n: another set that has the rest and nothing else would still be similar enough."""
+    return max(i for i in range(n) if n - i >= similarity * n)
+
+
+def rests(classes: DataFrame, p: Near) -> DataFrame:
+    """(h0, h1, out, room, cid): digests of all sets that are left of a class's small set ``few`` without ``out`` of its shingles.
+
+    Sets that share a rest of c shingles, without i and j others, have at least the similarity if and only if i + j <= room,
+    the most that c allows (or they share more, and are nearer still).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            with np.errstate(over="ignore"):
+                for cid, few in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    s = few.values.to_numpy().view(U)
+                    a = mix(s ^ U(0x51ED270B))
+                    c = mix(a)
+                    for i in range(left_out(len(s), p.similarity) + 1):
+                        at = np.array(list(combinations(range(len(s)), i)), int).reshape(math.comb(len(s), i), i)
+                        cols[0] += (np.add.reduce(a) - a[at].sum(1, dtype=U)).view(np.int64).tolist()
+                        cols[1] += (np.add.reduce(c) - c[at].sum(1, dtype=U)).view(np.int64).tolist()
+                        rest = len(s) - i
+                        cols[2] += [i] * len(at)
+                        cols[3] += [math.floor(rest * (1 - p.similarity) / p.similarity + 1e-9)] * len(at)
+                        cols[4] += [cid] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["h0", "h1", "out", "room", "cid"])
+
+    return classes.where("few is not null").select("cid", "few").mapInArrow(run, "h0 long, h1 long, out long, room long, cid long")
+
+
+def small_links(classes: DataFrame, p: Near) -> DataFrame:
+    """(a, b): links of classes with small sets, to the one that leaves out least; so no group's pairs are listed."""
+    own = rests(classes, p)
+    stars = own.groupBy("h0", "h1").agg(F.min(F.struct("out", "cid")).alias("star"), F.count("*").alias("members")).where("members > 1")
+    linked = own.join(stars, ["h0", "h1"]).where("cid <> star.cid and out + star.out <= room")
+    return linked.select(F.col("star.cid").alias("a"), F.col("cid").alias("b")).distinct()
+
+
+# --- the recursion ---
 
 
 def _binomial(n: int, q: float) -> np.ndarray:
     return np.array([math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(n + 1)])
 
 
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 @dataclass(frozen=True)
 class Levels:
     depth: int
-    centres: int  #: of each node of the recursion
+    strip: int  #: coordinates of a node's strip
+    weight: int  #: largest partial weight that passes
+    centres: int  #: of a node
+    repeats: int  #: of the whole tree
     bits: int  #: candidates differ in so many bits at most
+    copies: float  #: of a fingerprint in lists of the last level, as expected
+
 
+@functools.lru_cache(4096)
+def both_pass(strip: int, weight: int) -> np.ndarray:
+    """[d] chance that a centre lets both of two fingerprints pass that differ in d coordinates of the strip."""
+    out = np.zeros(strip + 1)
+    for d in range(strip + 1):
+        same = _binomial(strip - d, 0.5).cumsum()
+        for u, chance in enumerate(_binomial(d, 0.5)):  # of the differing coordinates, u count for one and d - u for the other
+            left = weight - max(u, d - u)
+            if left >= 0:
+                out[d] += chance * same[min(left, strip - d)]
+    return out
 
+
+def meeting(delta: float, strip: int, weight: int, centres: int, depth: int) -> float:
+    """The chance that a pair that differs in that share of bits meets in a last list of one tree. All centres of a node see
+    the same differing coordinates, so the chance is taken for each number of these first."""
+    differ, share, met = _binomial(strip, delta), both_pass(strip, weight), 1.0
+    for _ in range(depth):  # from the last level up
+        met = float((differ * (1 - (1 - share * met) ** centres)).sum())
+    return met
+
+
+@functools.lru_cache(64)
 def levels(n: int, p: Near) -> Levels:
-    """Depth from the number of fingerprints; centres so that a pair at the similarity meets with the target recall."""
+    """The cheapest tree whose last lists have ``p.list_rows`` of n fingerprints, as expected: the least depth with few enough
+    centres, and of its strips, weights and centres those with the fewest copies."""
     delta = differing(p.similarity)
-    sd = math.sqrt(BITS * delta * (1 - delta))
-    bits = int(BITS * delta + p.margin * sd)
-    one = _binomial(p.strip, 0.5)
-    both = 0.0
-    for w in range(p.weight + 1):  # the nearer one has weight w; the other loses some of these and gains some
-        lost, gained = _binomial(w, delta), _binomial(p.strip - w, delta)
-        both += one[w] * sum(lost[x] * gained[y] for x in range(w + 1) for y in range(p.strip - w + 1) if w - x + y <= p.weight)
-    alone = float(one[: p.weight + 1].sum())
-    depth = 1
-    while n * alone**depth > p.list_rows:
-        depth += 1
-    miss = 1 - p.recall ** (1 / depth)  # each level may lose as much
-    return Levels(depth, math.ceil(math.log(miss) / math.log1p(-both)), bits)
-
-
-def strips(p: Near, level: int, branch: int, centres: int) -> tuple[np.ndarray, np.ndarray]:
-    """(masks, centres) of a node, each (centres, 4) words: every centre has a strip of its own among all coordinates."""
-    rng = np.random.default_rng([p.seed, level, branch])
-    on = np.argsort(rng.random((centres, BITS)), axis=1)[:, : p.strip]
-    mask = np.zeros((centres, BITS), np.uint8)
+    bits = int(BITS * delta + p.margin * math.sqrt(BITS * delta * (1 - delta)))
+    if n <= p.list_rows:
+        return Levels(0, 0, 0, 0, 1, bits, 1.0)
+    for depth in range(1, BITS // 8 + 1):
+        best: Levels | None = None
+        target = (p.list_rows / n) ** (1 / depth)
+        for strip in range(6, min(p.strip, BITS // depth) + 1):
+            passes = _binomial(strip, 0.5).cumsum()
+            for weight in range(strip // 2):
+                if not target / 3 <= passes[weight] <= target:
+                    continue
+                share = float(_binomial(strip, delta) @ both_pass(strip, weight))
+                for mean in (0.5, 1, 2, 3):  # shared children of a near pair
+                    centres = math.ceil(mean / share)
+                    if centres > p.centres:
+                        continue
+                    repeats = math.ceil(math.log(1 - p.recall) / math.log1p(-meeting(delta, strip, weight, centres, depth)))
+                    copies = float(repeats * (centres * passes[weight]) ** depth)
+                    if best is None or copies < best.copies:
+                        best = Levels(depth, strip, weight, centres, repeats, bits, copies)
+        if best:
+            return best
+    raise ValueError(f"no tree for {n} fingerprints")
+
+
+def random_words(rows: np.ndarray, salt: int) -> np.ndarray:
+    """Four pseudo-random words for each name."""
+    return mix(mix(rows ^ U(salt))[:, None] + _SALTS[None, :])
+
+
+_STRIPS = 1024
+
+
+def strips(p: Near, lv: Levels, level: int) -> np.ndarray:
+    """Strips that the nodes of a level choose from: random coordinates of this level's own part of all, so that what passes one
+    level says nothing about the next."""
+    rng = np.random.default_rng([p.seed, level])
+    own = np.random.default_rng(p.seed).permutation(BITS)[level :: lv.depth]
+    on = own[np.argsort(rng.random((_STRIPS, len(own))), axis=1)[:, : lv.strip]]
+    mask = np.zeros((_STRIPS, BITS), np.uint8)
     np.put_along_axis(mask, on, 1, axis=1)
-    centre = rng.integers(0, 2, (centres, BITS), dtype=np.uint8) & mask
-    pack = lambda m: np.ascontiguousarray(np.packbits(m, axis=1, bitorder="little")).view(U)
-    return pack(mask), pack(centre)
+    return np.ascontiguousarray(np.packbits(mask, axis=1, bitorder="little")).view(U)
 
 
 def passing(f: np.ndarray, mask: np.ndarray, centre: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, centre) numbers of all partial weights that are small enough."""
+    """(row, centre) numbers of all partial weights that are small enough; each row has a strip (mask) of its own."""
     rows, cols = [], []
-    for lo in range(0, len(f), 512):
-        w = np.zeros((len(f[lo : lo + 512]), len(mask)), np.uint8)
+    step = max(64, (1 << 18) // max(1, len(centre)))
+    for lo in range(0, len(f), step):
+        w = np.zeros((len(f[lo : lo + step]), len(centre)), np.uint8)
         for k in range(WORDS):
-            w += np.bitwise_count((f[lo : lo + 512, k, None] ^ centre[None, :, k]) & mask[None, :, k])
+            w += np.bitwise_count((f[lo : lo + step, k, None] ^ centre[None, :, k]) & mask[lo : lo + step, k, None])
         a, b = np.nonzero(w <= weight)
         rows.append(a + lo)
         cols.append(b)
     return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
+def descend(f: np.ndarray, p: Near, lv: Levels, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of all lists of one repetition's last level that each fingerprint comes to."""
+    at = np.arange(len(f))
+    name = np.full(len(f), repeat * 0x9E3779B97F4A7C15 & (1 << 64) - 1, U)
+    with np.errstate(over="ignore"):
+        for level in range(lv.depth):
+            centre = random_words(np.arange(1, lv.centres + 1, dtype=U), p.seed)  # a node shifts them by words of its own
+            mask = strips(p, lv, level)[(mix(name ^ U(level + 1)) % U(_STRIPS)).astype(int)]
+            row, child = passing(f[at] ^ random_words(name, level + 101), mask, centre, lv.weight)
+            at, name = at[row], mix(name[row] + (child + 1).astype(U) * U(0xD6E8FEB86659FD93))
+    return at, name
+
+
 _PRINT = "cid long, n int, f0 long, f1 long, f2 long, f3 long"
 _NAMES = ["cid", "n", "f0", "f1", "f2", "f3"]
 
 
 def lists(classes: DataFrame, p: Near, lv: Levels) -> DataFrame:
-    """(list, cid, n, f0..f3): each fingerprint in every list of the last level that it comes to."""
+    """(list, cid, n, f0..f3): each fingerprint in every list of the last level that it comes to, once in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
                 f = np.column_stack([part.column(2 + k).to_numpy() for k in range(WORDS)]).view(U)
-                at, name = np.arange(len(f)), np.zeros(len(f), np.int64)
-                for level in range(lv.depth):
-                    mask, centre = strips(p, level, 0, lv.centres)
-                    row, child = passing(f[at], mask, centre, p.weight)
-                    at, name = at[row], name[row] * lv.centres + child
-                out = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(name), *out.columns], names=["list", *_NAMES])
+                for repeat in range(lv.repeats):
+                    at, name = descend(f, p, lv, repeat)
+                    out = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *out.columns], names=["list", *_NAMES])
 
     return classes.select(*_NAMES).mapInArrow(run, f"list long, {_PRINT}")
 
@@ -250,7 +360,7 @@ def candidates(members: DataFrame, p: Near, bits: int, most: int | None) -> Data
 
 
 def shingles(docs: DataFrame, p: Near) -> DataFrame:
-    """(cid, n, set array<int>): the shingle sets, each member cut to 32 bits, of (cid, text) rows."""
+    """(doc_id, g0, g1, set array<long>): the digests and shingle sets of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,14 +368,15 @@ def shingles(docs: DataFrame, p: Near) -> DataFrame:
             at = 0
             with np.errstate(over="ignore"):
                 for lo, hi in pieces(offsets):
-                    own = [np.unique((s >> U(32)).astype(np.uint32)).view(np.int32) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width)]
-                    values = np.concatenate(own) if own else np.zeros(0, np.int32)
+                    own = list(shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], p.width))
+                    values = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                    digest = np.array([set_digest(x) for x in own], np.int64).reshape(-1, 2)
                     part = batch.column(0).slice(at, hi - lo)
                     at += hi - lo
-                    yield pa.RecordBatch.from_arrays([part, pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["cid", "n", "set"])
+                    yield pa.RecordBatch.from_arrays([part, pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "g0", "g1", "set"])
 
-    return docs.select("cid", "text").mapInArrow(run, "cid long, n int, set array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, g0 long, g1 long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -279,7 +390,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, by least-label steps with pointer jumping."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    ends = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialise(edges.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct())
     label = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         seen = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
@@ -292,20 +404,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
-    """(doc_id, class_id, cluster_id, keep): one row per row of ``docs`` that has a doc_id.
+    """(doc_id, class_id, cluster_id, keep): one row per row of ``docs``.
 
     class_id is the smallest doc_id of the same shingle set, cluster_id that of the near-duplicate group, and keep is
     true for the group's representative, whose doc_id is the cluster_id. Words are runs without white space, as they are;
     a text of fewer words than a shingle is one shingle; null, empty and blank texts are one class. Rows that repeat a
     doc_id each have the class of their own text; with equal texts they are copies (keep holds for each of them;
-    ``representatives`` lets one row of a group pass). Ties go to the smallest doc_id. An empty table gives no row; other
-    columns are ignored, whatever their names.
+    ``representatives`` lets one row of a group pass). A row without a doc_id is a document like others; a class or group in
+    which no row has one has a null id, and keep holds for its rows. Ties go to the smallest doc_id. An empty table gives no
+    row; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = materialise(prints(texts, p))
-    firsts = [F.min("doc_id").alias("cid"), *(F.first(c).alias(c) for c in _NAMES[1:])]
-    classes = materialise(own.groupBy("g0", "g1").agg(*firsts))
+    firsts = [F.min("doc_id").alias("class_id"), *(F.first(c).alias(c) for c in (*_NAMES[1:], "few"))]
+    classes = materialise(own.groupBy("g0", "g1").agg(*firsts).withColumn("cid", F.monotonically_increasing_id()))
     some = classes.where("n > 0")
     lv = levels(max(1, some.count()), p)
     label = some.select(F.col("cid").alias("node"), F.col("cid").alias("label")).limit(0)
@@ -316,17 +428,22 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
     while True:
         pairs = found.where("deep is null").select("a", "b").distinct()
         deep = found.where("deep is not null")
-        if sets is None:  # texts of all that will ever be verified: whoever has a candidate at all has one in the first round
+        if sets is None:  # sets of all that will ever be verified: whoever has a candidate at all has one in the first round
             asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-            named = texts.withColumnRenamed("doc_id", "cid")
-            sets = materialise(shingles(named.join(asked, "cid", "left_semi").dropDuplicates(["cid"]), p))
+            named = classes.join(asked, "cid", "left_semi").select("cid", "g0", "g1", F.col("class_id").alias("doc_id"))
+            of_ids = shingles(texts.where("doc_id is not null").join(named.select("doc_id"), "doc_id", "left_semi"), p)
+            of_nulls = shingles(texts.where("doc_id is null"), p)
+            whole = of_ids.unionByName(of_nulls).join(named.withColumnRenamed("doc_id", "named_id"), ["g0", "g1"])
+            sets = materialise(whole.where(F.col("doc_id").eqNullSafe(F.col("named_id"))).select("cid", "set").dropDuplicates(["cid"]))  # equal sets, whichever row stays
             deeper = deep.select("list").distinct()
             members = materialise(tiled(lists(some.join(asked, "cid", "left_semi"), p, lv).join(deeper, "list", "left_semi"), p.deep_rows))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
         edges = verified(pairs, sets, p.similarity)
+        if tested is None:
+            edges = edges.unionByName(small_links(some, p))
+        tested = pairs if tested is None else tested.union(pairs)
         links = edges.union(label.where("node <> label").select("node", "label"))
         label = components(links)
         if most is None or deep.isEmpty():
@@ -335,20 +452,22 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
         named = label.select(F.col("node").alias("cid"), "label")
         grouped = members.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         found = materialise(candidates(grouped, p, lv.bits, most))
-    to_class = own.join(classes.select("g0", "g1", "cid"), ["g0", "g1"]).select("doc_id", F.col("cid").alias("class_id"))
-    out = to_class.join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
-    cluster = F.coalesce("label", "class_id")
-    return out.select("doc_id", "class_id", cluster.alias("cluster_id"), (F.col("doc_id") == cluster).alias("keep"))
+    grouped = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    smallest = grouped.groupBy("label").agg(F.min("class_id").alias("cluster_id"))
+    named = grouped.join(smallest, "label").select("g0", "g1", "class_id", "cluster_id")
+    out = own.select("doc_id", "g0", "g1").join(named, ["g0", "g1"])
+    return out.select("doc_id", "class_id", "cluster_id", F.col("doc_id").eqNullSafe(F.col("cluster_id")).alias("keep"))
 
 
 def representatives(docs: DataFrame, p: Near = Near()) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, with all its columns; rows without a doc_id stay.
+    """One row of ``docs`` for each group of near-duplicates, with all its columns.
 
-    Rows are grouped by their own texts, whatever other row has their doc_id; a group keeps a row of its smallest doc_id.
+    Rows are grouped by their own texts, whatever other row has their doc_id; a group keeps a row of its smallest doc_id, or
+    one without a doc_id if no row of it has any. Null, empty and blank texts are one group; texts of any length count as a
+    whole; an empty table gives none; columns of any other name pass as they are (but ``row_``, which must not be there).
     """
     rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()))
-    some = rows.where("doc_id is not null")
-    groups = near_duplicates(some.select(F.col("row_").alias("doc_id"), "text"), p).select(F.col("doc_id").alias("row_"), "cluster_id")
-    first = F.min(F.struct(F.col("doc_id"), F.col("row_"))).alias("first")
-    keep = some.select("row_", "doc_id").join(groups, "row_").groupBy("cluster_id").agg(first).select(F.col("first.row_").alias("row_"))
-    return some.join(keep, "row_", "left_semi").unionByName(rows.where("doc_id is null")).drop("row_").select(*docs.columns)
+    groups = near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text"), p).select(F.col("doc_id").alias("row_"), "cluster_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_"))).alias("first")
+    keep = rows.select("row_", "doc_id").join(groups, "row_").groupBy("cluster_id").agg(first).select(F.col("first.row_").alias("row_"))
+    return rows.join(keep, "row_", "left_semi").select(*docs.columns)

@@ -197,24 +197,74 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf):
         assert a == b
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("block,ahead", [(16, 1), (3, 2), (1000, 1)])
+def test_block_max_is_exact(block, ahead):
     rng = np.random.default_rng(4)
     rows = []
     for _ in range(400):
         t = np.sort(rng.choice(50, rng.integers(1, 6), replace=False))
         w = rng.random(len(t))
         rows.append((t, w / np.sqrt((w * w).sum())))
-    index = toxic_neighbours.Index.build(np.arange(400), np.zeros(400), rows, 50, 16)
-    place = {int(i): k for k, i in enumerate(index.ids)}
-    for t, w in rows[:60]:
-        dense = np.zeros(50)
-        dense[t] = w
-        cos = np.array([dense[a] @ b for a, b in rows])
-        want = [k for k in np.lexsort((np.arange(400), -cos.round(12)))[:15] if cos[k] > 0]
-        at, got = index.nearest(t, w, 15)
-        assert np.allclose(got, np.sort(cos)[::-1][: len(want)])
-        assert {int(index.ids[x]) for x in at} <= {k for k in range(400) if cos[k] >= cos[want[-1]] - 1e-9}
-    assert place
+    index = toxic_neighbours.Index.build(np.arange(400), np.zeros(400), rows, 50, toxic_neighbours.Neighbours(block=block, ahead=ahead))
+    dense = np.zeros((400, 50))
+    for k, (t, w) in enumerate(rows):
+        dense[k, t] = w
+    for k, (t, w) in enumerate(rows[:80]):
+        cos = np.array([np.cumsum([w[i] * dense[x, t[i]] for i in range(len(t))])[-1] for x in range(400)])
+        cos[k] = 0
+        want = [x for x in np.lexsort((np.arange(400), -cos))[:15] if cos[x] > 0]
+        at, got = index.nearest(t, w, 15, k)
+        assert index.ids[at].tolist() == want and np.allclose(got, cos[want], rtol=1e-14)
+
+
+def term_counts(text, heads):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    words = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    return Counter([("w", w) for w in words] + [(n, w[:n]) for n in heads for w in words if len(w) > n])
+
+
+def test_scores_by_brute_force(spark, sf):
+    """Vectors, neighbours, votes and calibration, with dictionaries over all terms of all texts."""
+    own = texts(sf, 150) | {1001: None, 1002: "", 1003: "qqqq zzzz", 1004: texts(sf, 1)[next(iter(texts(sf, 1)))]}
+    rng = np.random.default_rng(6)
+    toxic = {k: int(k % 7 == 0) for k in own if rng.random() < 0.6}
+    p = toxic_neighbours.Neighbours(k=5, block=4, ahead=2)
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxic_neighbours.rate_toxicity(docs, labels, p).collect()}
+    bag = {k: term_counts(t, p.heads) for k, t in own.items()}
+    learn = {k: v for k, v in toxic.items() if not got[k].held_out}
+    n = {v: sum(x == v for x in learn.values()) for v in (0, 1)}
+    seen = {v: Counter(t for k in learn if learn[k] == v for t in bag[k]) for v in (0, 1)}
+    df = Counter(t for b in bag.values() for t in b)
+
+    def weight(t):
+        ratio = math.log((seen[1][t] + 0.5) / (n[1] + 1)) - math.log((seen[0][t] + 0.5) / (n[0] + 1))
+        return (math.log((1 + len(own)) / (1 + df[t])) + 1) * (p.floor + abs(ratio) * min(1, (seen[0][t] + seen[1][t]) / p.full))
+
+    def vector(k):
+        v = {t: (1 + math.log(c)) * weight(t) for t, c in bag[k].items() if seen[0][t] + seen[1][t]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vec = {k: vector(k) for k in own}
+    base = n[1] / len(learn)
+
+    def vote(k):
+        cos = sorted(((-sum(x * vec[e].get(t, 0) for t, x in vec[k].items()), e) for e in learn if e != k))[: p.k]
+        cos = [(-c, e) for c, e in cos if c < 0]
+        return (sum(c * learn[e] for c, e in cos) + p.prior * base) / (sum(c for c, _ in cos) + p.prior), cos
+
+    votes = {k: vote(k) for k in own if vec[k]}
+    knots = toxic_neighbours.isotonic(np.array([votes[k][0] for k in sorted(learn) if vec[k]]), np.array([float(learn[k]) for k in sorted(learn) if vec[k]]), np.ones(sum(bool(vec[k]) for k in learn)))
+    for k, r in got.items():
+        v, cos = votes[k] if vec[k] else (0, [])
+        if not cos:
+            assert not r.neighbours and r.score < 0.5
+            continue
+        assert math.isclose(r.score, float(np.interp(v, *knots)), abs_tol=1e-9)
+        assert np.allclose([x.cosine for x in r.neighbours], [c for c, _ in cos[:3]]) and all(x.toxic == learn[x.doc_id] for x in r.neighbours)
+    assert got[1004].neighbours[0].cosine > 0.999 or next(iter(own)) not in learn
 
 
 # --- 6 ---
@@ -365,18 +415,69 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert len(own) - len(set(got.values())) >= 0.97 * merges
 
 
-def test_levels_reach_their_recall():
+@pytest.mark.parametrize("n,depth", [(10**5, 1), (10**8, 2), (10**10, 3)])
+def test_levels_reach_their_recall(n, depth):
+    """Pairs at exactly the similarity meet, at each depth; others seldom do; a fingerprint has as many copies as expected."""
     p = simhash_dedup.Near()
-    lv = simhash_dedup.levels(10_000, p)
+    lv = simhash_dedup.levels(n, p)
+    assert lv.depth == depth and lv.copies < 500
     rng = np.random.default_rng(8)
-    bits = rng.integers(0, 2, (300, 256), dtype=np.uint8)
-    near = bits ^ (rng.random((300, 256)) < simhash_dedup.differing(0.8))
-    pack = lambda b: np.ascontiguousarray(np.packbits(b, axis=1, bitorder="little")).view(np.uint64)
-    mask, centre = simhash_dedup.strips(p, 0, 0, lv.centres)
+    bits = rng.integers(0, 2, (200, 256), dtype=np.uint8)
+    near = bits ^ (rng.random((200, 256)) < simhash_dedup.differing(0.8))
+    f = np.ascontiguousarray(np.packbits(np.vstack([bits, near]).astype(np.uint8), axis=1, bitorder="little")).view(np.uint64)
+    met, false, copies = set(), 0, 0
+    for repeat in range(lv.repeats):
+        row, name = simhash_dedup.descend(f, p, lv, repeat)
+        assert len(set(zip(row.tolist(), name.tolist(), strict=True))) == len(row)
+        copies += len(row) / len(f)
+        of = {}
+        for r, x in zip(row.tolist(), name.tolist(), strict=True):
+            of.setdefault(x, set()).add(r)
+        met |= {r for own in of.values() for r in own if r < 200 and r + 200 in own}
+        false += sum(len(own) - 1 for own in of.values())
+    assert len(met) / 200 >= 0.9
+    assert 0.6 * lv.copies < copies < 1.5 * lv.copies
+
+
+def test_chance_to_meet():
+    rng = np.random.default_rng(1)
     met = 0
-    a, b = ({tuple(x) for x in np.column_stack(simhash_dedup.passing(pack(y.astype(np.uint8)), mask, centre, p.weight)).tolist()} for y in (bits, near))
-    met = len({x[0] for x in a & b})
-    assert met / 300 >= 0.97
+    for _ in range(3000):  # two nodes of a path, 6 centres each
+        pairs, delta = [(0, 0)], 0.15
+        below = 1
+        for _ in range(2):
+            after = 0
+            for _ in range(below):
+                x, c = rng.integers(0, 2, 20), rng.integers(0, 2, (6, 20))
+                y = x ^ (rng.random(20) < delta)
+                after += int((((c != x).sum(1) <= 7) & ((c != y).sum(1) <= 7)).sum())
+            below = after
+        met += below > 0
+    assert abs(met / 3000 - simhash_dedup.meeting(0.15, 20, 7, 6, 2)) < 0.03
+
+
+@pytest.mark.parametrize("p,depth", [(simhash_dedup.Near(list_rows=40), 1), (simhash_dedup.Near(list_rows=20, centres=8), 2), (simhash_dedup.Near(list_rows=12, centres=8), 3)])
+def test_recall_by_depth(spark, p, depth):
+    """Links of all rows whose id is divisible by 50, against all rows, through trees of each depth."""
+    own = texts("/root/testdata/sf0.01") | {10**6 + 50 * k: t for k, t in planted().items()}
+    assert simhash_dedup.levels(len(own), p).depth == depth
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: r.cluster_id for r in simhash_dedup.near_duplicates(df, p).collect()}
+    sets = {k: shingles(t) for k, t in own.items()}
+    links = [(a, b) for a in sets if a % 50 == 0 for b in sets if b != a and sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 100 and sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+
+
+def test_small_sets_are_exact(spark):
+    rng = np.random.default_rng(9)
+    own = {}
+    for g in range(40):
+        base = [f"w{g}x{k}" for k in range(int(rng.integers(5, 19)))]
+        for _ in range(6):
+            own[len(own)] = " ".join(base[int(rng.integers(0, 3)) : len(base) - int(rng.integers(0, 3))])
+    p = simhash_dedup.Near(margin=-100)  # no candidate by fingerprints
+    got = {r.doc_id: r.cluster_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(own.items()), "doc_id long, text string"), p).collect()}
+    assert got == groups_by_brute_force(own) and len(set(got.values())) < len(set(own.values()))
 
 
 def test_rounds_and_tiles_lose_nothing(spark):

@@ -18,6 +18,9 @@ def test_toxic_rows_go_alone(spark):
 
 def test_each_group_keeps_a_row(spark):
     one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
-    rows = [(7, two, "y"), (7, one, "x"), (3, two, "z"), (9, one, "v"), (None, one, "n")]
+    three = " ".join(f"c{k}" for k in range(40))
+    rows = [(7, two, "y"), (7, one, "x"), (3, two, "z"), (9, one, "v"), (None, one, "n"), (None, three, "m"), (None, three, "m")]
     kept = simhash_dedup.representatives(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id or 0, r.text, r.source) for r in kept) == [(0, one, "n"), (3, two, "z"), (7, one, "x")]
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in kept) == [(0, three, "m"), (3, two, "z"), (7, one, "x")]
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.doc_id or 0, r.cluster_id or 0, r.keep) for r in got.collect()) == [(0, 0, True), (0, 0, True), (0, 7, False), (3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False)]
