@@ -1,12 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Each source's documents stand in a pseudo-random order that depends on the seed and doc_id alone. Running word
+1. Each source's documents stand in a pseudo-random order that depends on the seed, doc_id and text alone. Running word
    counts along it (prefix sums in two levels, so no task ever holds a source) cut it into blocks of equal words.
-2. The target weights give each source an exact quota of block draws, at most three for a block.
-3. A binary tree over the output shards splits the vector of quotas: each node deals its draws to its two halves by a
-   multivariate hypergeometric draw, so the leaves hold exact quotas that add up to the root's.
-4. A shard's draws are consecutive positions of a fixed permutation of its source's draws, hence disjoint; within a
-   shard, documents are ordered by a hash (the local shuffle).
+2. The target weights give each source an exact quota of block draws: whole passes, which draw every block, and a last
+   pass, which draws some blocks and skips the others.
+3. A binary tree over the output shards splits the vector of quotas (draws of whole passes, draws and skips of the last):
+   each node deals its share to its two halves by a multivariate hypergeometric draw, so the leaves hold exact quotas that
+   add up to the root's.
+4. A shard's blocks are consecutive positions of a fixed permutation of its source's blocks, hence disjoint from other
+   shards'; of those of the last pass it draws as many as its leaf says, by a permutation of its own. Within a shard,
+   documents are ordered by a hash (the local shuffle).
 
 Everything that is gathered on the driver is per source (names, sizes, quotas), never per document.
 """
@@ -17,12 +20,11 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandweave.llm.common import WORD, fan_out
+from strandweave.llm.common import WORD
 
 HASH_BITS = 60
 CYCLE = (1, 2, 3)
@@ -42,11 +44,15 @@ class Mix:
 
 @dataclass
 class Quota:
+    """A source's draws of blocks, and running totals by shard: draws of whole passes, of the last pass, and blocks it skips."""
+
     source: str | None
     size: int
     target: float
     draws: int = 0
-    leaves: list[int] = field(default_factory=list)
+    whole: list[int] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+    skipped: list[int] = field(default_factory=list)
 
 
 def targets(sizes: list[int], weights: list[float], most: int) -> list[float]:
@@ -106,20 +112,67 @@ def plan(sizes: list[tuple[str | None, int]], mix: Mix) -> list[Quota]:
     quotas = [Quota(s, n, t) for (s, n), t in zip(order, targets([n for _, n in order], weights, mix.most), strict=True)]
     for q in quotas:
         q.draws = min(round(q.target * mix.blocks / q.size), mix.most * mix.blocks) if q.size else 0
-    for q, row in zip(quotas, splitting_tree([q.draws for q in quotas], mix.shards, mix.seed), strict=True):
-        q.leaves = [int(x) for x in np.cumsum(row)]
+    rest = [q.draws % mix.blocks for q in quotas]
+    dealt = splitting_tree([q.draws - r for q, r in zip(quotas, rest, strict=True)] + rest, mix.shards, mix.seed)
+    left = splitting_tree([mix.blocks - r for r in rest], mix.shards, mix.seed + 1)
+    for k, q in enumerate(quotas):
+        q.whole, q.last, q.skipped = ([int(x) for x in np.cumsum(row)] for row in (dealt[k], dealt[len(quotas) + k], left[k]))
     return quotas
 
 
-def position(doc_id: Column, seed: int) -> Column:
-    """60 hash bits of a document; null and missing ids have a place as well."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def position(docs_key: list[Column], seed: int) -> Column:
+    """60 hash bits of a document; nulls have a place as well."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("null")) for c in docs_key))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _permuted(draw: Column, draws: Column, seed: int) -> Column:
-    """An affine permutation of 0..draws-1; the factor is a prime beyond any count of draws, hence coprime to it."""
-    return F.pmod(draw * F.lit(2_147_483_647) + F.lit(seed), draws)
+def _permuted(k: Column, n: Column, seed: Column) -> Column:
+    """An affine permutation of 0..n-1; the factor is a prime beyond any n, hence coprime to it."""
+    return F.pmod(k * F.lit(2_147_483_647) + seed, n)
+
+
+def _drawn(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``docs`` with the struct column ``mixed_``: size, source_size, target, draws, shards, local_order.
+
+    One exchange by (source, bucket of the order) carries the rows: the running sums, and the join with what stands before
+    each bucket, both use it.
+    """
+    spark = docs.sparkSession
+    shift = HASH_BITS - int(math.log2(mix.buckets))
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    name = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    own = F.struct(
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), position(key, mix.seed).alias("place"),
+        position(key, mix.seed + 1).alias("local_order"),
+    )
+    sized = docs.withColumns({"mixed_": own, "mixed_source_": name})
+    sized = sized.withColumn("mixed_bucket_", F.shiftright("mixed_.place", shift))
+    per_bucket = sized.groupBy("mixed_source_", "mixed_bucket_").agg(F.sum("mixed_.size").alias("n"))
+    per_source = per_bucket.groupBy("mixed_source_").agg(F.sum("n").alias("n")).collect()
+    quotas = plan([(None if r.mixed_source_ == "null" else r.mixed_source_[1:], r.n) for r in per_source], mix)
+    rows = [("null" if q.source is None else f"={q.source}", (q.size, q.target, q.draws, q.whole, q.last, q.skipped)) for q in quotas]
+    of_source = spark.createDataFrame(rows, "mixed_source_ string, mixed_q_ struct<size:long,target:double,draws:long,whole:array<long>,last:array<long>,skipped:array<long>>")
+    by_source = Window.partitionBy("mixed_source_").orderBy("mixed_bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_bucket.select("mixed_source_", "mixed_bucket_", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("mixed_before_"))
+    in_bucket = Window.partitionBy("mixed_source_", "mixed_bucket_").orderBy("mixed_.place", "doc_id", "mixed_.size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("mixed_ahead_", F.coalesce(F.sum("mixed_.size").over(in_bucket), F.lit(0)))
+    placed = placed.join(before, ["mixed_source_", "mixed_bucket_"]).join(F.broadcast(of_source), "mixed_source_")  # a row for each source
+    q, blocks = F.col("mixed_q_"), F.lit(mix.blocks).cast("long")
+    middle = F.col("mixed_before_") + F.col("mixed_ahead_") + F.col("mixed_.size") / 2
+    block = F.least(F.floor(middle * mix.blocks / F.greatest(q["size"], F.lit(1))), blocks - 1).cast("long")
+    passes = F.floor(q["draws"] / blocks).cast("long")
+    shard = lambda ends, at: F.size(F.filter(ends, lambda x: x <= at))
+    of_pass = lambda k: shard(q["whole"], _permuted(k * blocks + block, passes * blocks, F.lit(mix.seed)))
+    whole = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), of_pass)).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(F.arrays_zip(q["last"], q["skipped"]), lambda x: x["last"] + x["skipped"])
+    at = _permuted(block, blocks, F.lit(mix.seed + 2))
+    pool = shard(ends, at)
+    begin = lambda x: F.coalesce(F.get(x, pool - 1), F.lit(0))
+    quota = F.get(q["last"], pool) - begin(q["last"])
+    picked = _permuted(at - begin(ends), F.get(ends, pool) - begin(ends), F.lit(mix.seed + 3) + pool) < quota
+    shards = F.array_sort(F.concat(whole, F.when((q["draws"] > 0) & picked, F.array(pool)).otherwise(F.array().cast("array<int>"))))
+    out = F.struct(F.col("mixed_.size").alias("size"), q["size"].alias("source_size"), q["target"].alias("target"), F.size(shards).alias("draws"), shards.alias("shards"), F.col("mixed_.local_order").alias("local_order"))
+    return placed.select(*[placed[c] for c in docs.columns], out.alias("mixed_"))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -127,49 +180,20 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     size counts the words of the whole text (null: 0); draws is how often the mix takes the document, once in each of
     ``shards`` (sorted; a shard may come twice), taken = size * draws. Documents without words follow their block like
-    others. Rows that repeat a doc_id share its place in the order, so they are taken alike up to the border of a
+    others. Rows with equal doc_id and text share their place in the order, so they are taken alike up to the border of a
     block. A null source is a source of its own, a null doc_id a document. An empty table gives no row; other columns
     are ignored, whatever their names. A source without a single word has target 0 and is not taken.
     """
-    spark = docs.sparkSession
-    shift = HASH_BITS - int(math.log2(mix.buckets))
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        position(F.col("doc_id"), mix.seed).alias("place"),
-    ).withColumn("bucket", F.shiftright("place", shift))
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    totals = [(r.source, r.n) for r in per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("n")).collect()]
-    quotas = plan(totals, mix)
-    schema = "source string, source_size long, target double, draws_of_source long, leaves array<long>"
-    of_source = spark.createDataFrame([(q.source, q.size, q.target, q.draws, q.leaves) for q in quotas], schema)
-    by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(by_source), F.lit(0)))
-    before = before.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before")
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    placed = placed.join(before, placed.source.eqNullSafe(F.col("b_source")) & (placed.bucket == F.col("b_bucket")))
-    q = of_source.withColumnRenamed("source", "q_source")
-    placed = placed.join(q, placed.source.eqNullSafe(F.col("q_source")))
-    middle = F.col("before") + F.col("ahead") + F.col("size") / 2
-    block = F.least(F.floor(middle * mix.blocks / F.greatest(F.col("source_size"), F.lit(1))), F.lit(mix.blocks - 1)).cast("long")
-    placed = placed.withColumn("block", block)
-    draws = F.when(F.col("draws_of_source") > F.col("block"), F.floor((F.col("draws_of_source") - F.col("block") - 1) / mix.blocks) + 1).otherwise(0).cast("int")
-    placed = placed.withColumn("draws", draws)
-    one = lambda k: F.size(F.filter("leaves", lambda x: x <= _permuted(F.col("block") + k.cast("long") * mix.blocks, F.col("draws_of_source"), mix.seed)))
-    shards = F.when(F.col("draws") > 0, F.array_sort(F.transform(F.sequence(F.lit(0), F.col("draws") - 1), one))).otherwise(F.array().cast("array<int>"))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "draws",
-        (F.col("size") * F.col("draws")).alias("taken"), shards.alias("shards"),
-        position(F.col("doc_id"), mix.seed + 1).alias("local_order"),
-    )
+    own = _drawn(docs.select("doc_id", "source", "text"), mix)
+    return own.select("doc_id", "source", "mixed_.size", "mixed_.source_size", "mixed_.target", "mixed_.draws", (F.col("mixed_.size") * F.col("mixed_.draws")).alias("taken"), "mixed_.shards", "mixed_.local_order")
 
 
 def apply_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix draws it; columns stay as they are.
+    """The rows of ``docs``, each as often as the mix draws it, by shard and in each shard's local order; columns stay as they are.
 
-    Repeated rows of one doc_id share their decision: the largest number of draws that any of them has.
+    Each row has its own decision, also among rows that share a doc_id or have none; texts of any length count as a whole,
+    null and empty ones follow their block; an empty table gives none; columns of any other name pass (but those that begin
+    with ``mixed_``, which must not be there).
     """
-    drawn = mix_sources(docs, mix).where("draws > 0").groupBy(F.col("doc_id").alias("m_doc_id")).agg(F.max("draws").alias("m_draws"))
-    joined = docs.join(drawn, docs.doc_id.eqNullSafe(F.col("m_doc_id")))
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_draws")))).select(*[docs[c] for c in docs.columns])
+    copies = _drawn(docs, mix).withColumn("mixed_shard_", F.explode("mixed_.shards"))
+    return copies.repartition("mixed_shard_").sortWithinPartitions("mixed_shard_", "mixed_.local_order").select(*docs.columns)
