@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-case words and the first bytes of long words, by hash; the vocabulary is every term of every learnt example.
+Terms are lower-case words, and on request the first bytes of long words, by hash; the vocabulary is every term of every learnt example.
 A term weighs (1 + log count) * idf * tell: idf counts over all documents, tell says how far the term's shares in toxic
 and in clean examples are apart (never 0, so a copy of an example always finds it). Examples are ordered by their heaviest
 term and cut into blocks. The index lists, for each term, the blocks that hold it with its largest weight there, and
@@ -32,9 +32,9 @@ class Neighbours:
 
     sample: int = 1500
     k: int = 15
-    block: int = 16
+    block: int = 64
     ahead: int = 4
-    heads: tuple[int, ...] = (5,)
+    heads: tuple[int, ...] = ()
     floor: float = 0.05
     full: int = 5
     prior: float = 0.3
@@ -174,7 +174,7 @@ class Index:
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
         maxima = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
         of_term = np.searchsorted(term[new], np.arange(n_terms + 1))
-        return cls(ids[by], toxic[by], p.block, p.ahead, of_term, block[new].astype(np.int32), maxima, np.append(new, len(term)), example.astype(np.int32), weight)
+        return cls(ids[by], toxic[by], p.block, p.ahead, of_term, block[new].astype(np.int32), maxima, np.append(new, len(term)), example, weight)
 
     def scored(self, entry: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines over 0) of all postings of the entries, summed in order of terms."""

@@ -309,9 +309,13 @@ def test_tree_is_exact():
     assert (tree == source_mixing.splitting_tree(q, 13, 1)).all()
 
 
-def test_mix(spark):
+def mixed_rows(n=3000):
     rng = np.random.default_rng(1)
-    rows = [(k, "w " * int(rng.integers(1, 60)), ["a", "b", "c", None][min(3, int(rng.integers(0, 9)))]) for k in range(3000)]
+    return [(k, "w " * int(rng.integers(1, 60)), ["a", "b", "c", None][min(3, int(rng.integers(0, 9)))]) for k in range(n)]
+
+
+def test_mix(spark):
+    rows = mixed_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = source_mixing.mix_sources(df).toPandas()
     size = {k: len(WORD.findall(t)) for k, t, _ in rows}
@@ -320,12 +324,43 @@ def test_mix(spark):
     assert all(len(s) == d for s, d in zip(got.shards, got.draws, strict=True))
     by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), source_size=("source_size", "first"))
     assert (by["size"] == by.source_size).all()
-    assert (abs(by.taken - by.target) <= 0.002 * by.target + 120).all()
+    assert (abs(by.taken - by.target) <= 0.03 * by.target + 120).all()
     again = source_mixing.mix_sources(df.repartition(7)).toPandas()
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
     assert source_mixing.apply_mix(df).count() == got.draws.sum()
 
 
+def test_leaves_decide_what_is_drawn(spark, monkeypatch):
+    """Each shard holds exactly its leaf's blocks, one document a block, and another tree draws other documents."""
+    rows = [(k, f"t{k}", "ab"[k % 4 == 0]) for k in range(1024)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = source_mixing.Mix(blocks=256, shards=8)
+    got = source_mixing.mix_sources(df, mix).toPandas()
+    for q in source_mixing.plan([("a", 768), ("b", 256)], mix):
+        own = got[got.source == q.source]
+        per = len(own) // 256  # documents of a block
+        shards = Counter(x for s in own.shards for x in s)
+        assert [shards[j] for j in range(8)] == [per * n for n in np.diff([0, *(a + b for a, b in zip(q.whole, q.last, strict=True))])]
+        assert set(own.draws) <= {q.draws // 256, q.draws // 256 + 1} and own.draws.sum() == per * q.draws
+    one = lambda quotas, shards, seed: np.column_stack([quotas, np.zeros((len(quotas), shards - 1), int)])
+    monkeypatch.setattr(source_mixing, "splitting_tree", one)
+    other = source_mixing.mix_sources(df, mix).toPandas()
+    assert got.sort_values("doc_id").taken.tolist() != other.sort_values("doc_id").taken.tolist()
+
+
+def test_mix_is_by_row_and_ordered(spark):
+    rows = mixed_rows(400) + [(None, f"null {k}", "a") for k in range(50)] + [(7, f"again {k}", "b") for k in range(50)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, draws int")
+    mix = source_mixing.Mix(blocks=64, shards=4)
+    want = Counter()
+    for r in source_mixing.mix_sources(df, mix).toPandas().itertuples():
+        want[(None if r.doc_id != r.doc_id else int(r.doc_id), r.source or None, r.size)] += r.draws
+    got = source_mixing.apply_mix(df, mix)
+    assert got.columns == df.columns
+    have = Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in got.collect())
+    assert have == +want and sum(k[0] is None for k in have) > 0
+
+
 # --- 8 ---
 
 
