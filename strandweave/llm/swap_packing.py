@@ -10,11 +10,13 @@ their length, which two-level counting gives without ever gathering a length in
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,13 +30,12 @@ from strandweave.llm.common import materialise
 
 @dataclass(frozen=True)
 class Packing:
-    """Tokens of a sequence; id that ends a document; vocabulary file; text of its special token; most steps of the search."""
+    """Tokens of a sequence; id that ends a document; vocabulary file; text of its special token; rows of a salt."""
 
     limit: int = 1024
     end_id: int = 2
     vocabulary: str = "byte_bpe_50k.tiktoken"
     special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),)
-    steps: int = 20_000
     salt_rows: int = 4096
 
 
@@ -143,29 +144,8 @@ def best_fit(counts: dict[int, int], limit: int) -> Counter:
     return out
 
 
-def _better(a: Pattern, b: Pattern, limit: int) -> tuple[Pattern, Pattern] | None:
-    """The best of all moves and exchanges that make ``a`` (the fuller) fuller still; None if none does."""
-    room, best = limit - sum(a), (0, None)
-    singles_b, singles_a = sorted(set(b), reverse=True), sorted(set(a))
-    for x in singles_b:
-        if x <= room and x > best[0]:  # move
-            best = (x, ((), (x,)))
-        for y in singles_a:
-            if 0 < x - y <= room and x - y > best[0]:  # one for one
-                best = (x - y, ((y,), (x,)))
-    for i, x in enumerate(b):
-        for z in b[i + 1 :]:
-            for y in singles_a:
-                if 0 < x + z - y <= room and x + z - y > best[0]:  # two for one
-                    best = (x + z - y, ((y,), (x, z)))
-    for i, y in enumerate(a):
-        for z in a[i + 1 :]:
-            for x in singles_b:
-                if 0 < x - y - z <= room and x - y - z > best[0]:  # one for two
-                    best = (x - y - z, ((y, z), (x,)))
-    if best[1] is None:
-        return None
-    give, take = best[1]
+def _swapped(a: Pattern, b: Pattern, give: Pattern, take: Pattern) -> tuple[Pattern, Pattern]:
+    """Both patterns after ``a`` gave ``give`` to ``b`` and took ``take`` from it."""
     left, right = Counter(a), Counter(b)
     left.subtract(give)
     right.subtract(take)
@@ -174,41 +154,135 @@ def _better(a: Pattern, b: Pattern, limit: int) -> tuple[Pattern, Pattern] | Non
     return tuple(sorted(left.elements(), reverse=True)), tuple(sorted(right.elements(), reverse=True))
 
 
-def local_search(bins: Counter, limit: int, steps: int) -> Counter:
-    """Until no pair of underfull bins improves: each step raises the sum of squared fills of one pair of patterns.
+def _better(a: Pattern, b: Pattern, limit: int) -> tuple[Pattern, Pattern] | None:
+    """The best of all moves and exchanges that make ``a`` (the fuller) fuller still; None if none does."""
+    room, best = limit - sum(a), (0, (), ())
+    ones_a, ones_b = [((), 0), *(((y,), y) for y in set(a))], [((x,), x) for x in set(b)]
+    twos_a, twos_b = ([(c, sum(c)) for c in set(combinations(p, 2))] for p in (a, b))
+    for gives, takes in ((ones_a, ones_b), (ones_a[1:], twos_b), (twos_a, ones_b)):
+        for give, out in gives:
+            for take, into in takes:
+                gain = into - out
+                if 0 < gain <= room and (gain, give, take) > best:
+                    best = (gain, give, take)
+    return _swapped(a, b, best[1], best[2]) if best[0] else None
+
+
+class Underfull:
+    """Underfull bins by pattern, with the patterns that hold each length and each sum of two lengths."""
+
+    def __init__(self, bins: Counter, limit: int):
+        self.limit, self.count = limit, Counter()
+        self.ones: dict[int, set[Pattern]] = defaultdict(set)
+        self.twos: dict[int, set[Pattern]] = defaultdict(set)
+        self.done: Counter = Counter()
+        for pattern, n in bins.items():
+            self.add(pattern, n)
+
+    def add(self, pattern: Pattern, n: int) -> None:
+        if not pattern or not n:
+            return
+        if sum(pattern) == self.limit:
+            self.done[pattern] += n
+            return
+        if not self.count[pattern]:
+            for x in set(pattern):
+                self.ones[x].add(pattern)
+            for c in set(combinations(pattern, 2)):
+                self.twos[sum(c)].add(pattern)
+        self.count[pattern] += n
+
+    def take(self, pattern: Pattern, n: int) -> None:
+        self.count[pattern] -= n
+        if not self.count[pattern]:
+            del self.count[pattern]
+            for x in set(pattern):
+                self.ones[x].discard(pattern)
+            for c in set(combinations(pattern, 2)):
+                self.twos[sum(c)].discard(pattern)
+
+    def change(self, a: Pattern, b: Pattern, after: tuple[Pattern, Pattern]) -> None:
+        """As many bins as both patterns have change at once."""
+        n = self.count[a] // 2 if a == b else min(self.count[a], self.count[b])
+        self.take(a, n)
+        self.take(b, n)
+        for pattern in after:
+            self.add(pattern, n)
+
+    def filled(self, a: Pattern) -> tuple[Pattern, tuple[Pattern, Pattern]] | None:
+        """(b, both afterwards) of the emptiest underfull bin that can fill ``a`` to the brim: by a move, two for one, one
+        for one, or one for two. Whatever bin gives, the sum of squared fills increases."""
+        room = self.limit - sum(a)
+        if room in self.ones and (b := self._emptiest(self.ones[room], a)):
+            return b, _swapped(a, b, (), (room,))
+        for y in sorted(set(a), reverse=True):
+            if b := self._emptiest(self.twos.get(y + room, ()), a):
+                pair = next(c for c in combinations(b, 2) if sum(c) == y + room)
+                return b, _swapped(a, b, (y,), pair)
+        for y in sorted(set(a)):
+            if b := self._emptiest(self.ones.get(y + room, ()), a):
+                return b, _swapped(a, b, (y,), (y + room,))
+        for pair in sorted(set(combinations(a, 2))):
+            if b := self._emptiest(self.ones.get(sum(pair) + room, ()), a):
+                return b, _swapped(a, b, pair, (sum(pair) + room,))
+        return None
+
+    def given(self, b: Pattern) -> tuple[Pattern, tuple[Pattern, Pattern]] | None:
+        """(a, both afterwards) of the exchange by which ``b`` raises the sum of squared fills most, to a bin that is as full at least."""
+        best, out = 0, None
+        for a in sorted(self.count, key=lambda p: (sum(p), p)):  # most room first
+            room = self.limit - sum(a)
+            if sum(a) < sum(b) or (a == b and self.count[b] < 2):
+                continue
+            if 2 * room * (self.limit - sum(b)) <= best:
+                break
+            if after := _better(a, b, self.limit):
+                gain = sum(after[0]) - sum(a)
+                if 2 * gain * (sum(a) - sum(b) + gain) > best:
+                    best, out = 2 * gain * (sum(a) - sum(b) + gain), (a, after)
+        return out
+
+    def _emptiest(self, patterns, but: Pattern) -> Pattern | None:
+        some = [p for p in patterns if p != but or self.count[p] > 1]
+        return min(some, key=lambda p: (sum(p), p)) if some else None
+
 
-    The emptiest bin gives to all others in turn, fullest first, until it is empty; a bin that can give nothing more is
-    set aside. A step changes as many bins at once as both patterns have. ``steps`` bounds the driver's work.
+def local_search(bins: Counter, limit: int) -> Counter:
+    """Exchanges between underfull bins until none improves: each raises the sum of squared fills, so the search ends.
+
+    First every bin that some other can fill to the brim is, the fullest first. When no bin can be filled so, the emptiest one
+    gives to the bin whose exchange raises the squared fills most, until it is empty or can give nothing more; then bins are
+    filled again.
     """
-    done = Counter({p: n for p, n in bins.items() if sum(p) == limit})
-    open_ = Counter({p: n for p, n in bins.items() if sum(p) < limit})
-    stuck: Counter = Counter()
-    while open_ and steps > 0:
-        free = sum((limit - sum(p)) * n for p, n in (open_ + stuck).items())
-        if free < limit:  # less room than one bin: no bin can run empty
+    pool = Underfull(bins, limit)
+    stuck: set[Pattern] = set()
+    todo = [(-sum(p), p) for p in pool.count]
+    whole = True  # todo holds all bins, not only those that changed last
+    heapq.heapify(todo)
+    while True:
+        while todo:
+            _, a = heapq.heappop(todo)
+            while pool.count[a] and (found := pool.filled(a)):
+                b, after = found
+                pool.change(a, b, after)
+                for p in (*after, b):
+                    if pool.count[p] and p != a:
+                        heapq.heappush(todo, (-sum(p), p))
+        if sum((limit - sum(p)) * n for p, n in pool.count.items()) < limit:  # less room than one bin: none can run empty
             break
-        giver = min(open_, key=lambda p: (sum(p), p))
-        moved = False
-        for taker in sorted((p for p in open_ + stuck if p != giver or (open_ + stuck)[p] > 1), key=lambda p: (-sum(p), p)):
-            steps -= 1
-            if sum(taker) < sum(giver) or steps <= 0:
-                break
-            change = _better(taker, giver, limit)
-            if not change:
-                continue
-            pool = open_ if open_[taker] else stuck
-            n = min(open_[giver], pool[taker]) if taker != giver else max(1, min(open_[giver] // 2, pool[taker]))
-            open_[giver] -= n
-            pool[taker] -= n
-            for p in change:
-                if p:
-                    (done if sum(p) == limit else open_)[p] += n
-            open_, stuck = +open_, +stuck
-            moved = True
+        change = next(((g, *x) for g in sorted(pool.count.keys() - stuck, key=lambda p: (sum(p), p)) if (x := pool.given(g)) or stuck.add(g)), None)
+        if change:
+            giver, taker, after = change
+            pool.change(taker, giver, after)
+            stuck -= set(after)
+            todo, whole = [(-sum(p), p) for p in after if pool.count[p]], False
+        elif whole:
             break
-        if not moved:
-            stuck[giver] += open_.pop(giver)
-    return +(done + open_ + stuck)
+        else:
+            todo, whole = [(-sum(p), p) for p in pool.count], True
+            stuck.clear()
+        heapq.heapify(todo)
+    return +(pool.done + pool.count)
 
 
 def places(bins: Counter) -> dict[str, np.ndarray]:
@@ -226,7 +300,7 @@ def places(bins: Counter) -> dict[str, np.ndarray]:
 
 
 def pack_lengths(counts: dict[int, int], p: Packing) -> Counter:
-    return local_search(best_fit(counts, p.limit), p.limit, p.steps)
+    return local_search(best_fit(counts, p.limit), p.limit)
 
 
 def pack(docs: DataFrame, p: Packing = Packing()) -> DataFrame:

@@ -393,10 +393,46 @@ def test_pack_round_trip(spark, sf):
 
 def test_local_search_empties_bins():
     start = Counter({(6, 2): 1, (5, 2): 1, (3, 1, 1): 1})  # 10 wide: 8 + 7 + 5 = 20
-    after = swap_packing.local_search(start, 10, 1000)
+    after = swap_packing.local_search(start, 10)
     assert sum(after.values()) == 2 and sorted(x for b, n in after.items() for x in b * n) == [1, 1, 2, 2, 3, 5, 6]
 
 
+@pytest.mark.parametrize("low,high,n,gain", [(200, 420, 5_000, 50), (100, 600, 20_000, 20), (180, 520, 20_000, 50)])
+def test_local_search_gains_on_best_fit(low, high, n, gain):
+    counts = Counter(np.random.default_rng(0).integers(low, high + 1, n).tolist())
+    first = swap_packing.best_fit(counts, 1024)
+    after = swap_packing.local_search(first, 1024)
+    assert Counter(x for b, k in after.items() for x in list(b) * k) == counts and max(map(sum, after)) <= 1024
+    assert sum(first.values()) - sum(after.values()) >= gain
+    squares = lambda bins: sum(sum(b) ** 2 * k for b, k in bins.items())
+    assert squares(after) > squares(first)
+    assert sum(swap_packing.local_search(after, 1024).values()) == sum(after.values())  # a fixed point
+
+
+def fewest(pieces, limit):
+    """By dynamic programming over all sets of pieces: (bins, fill of the last)."""
+    best = {0: (0, limit)}
+    for mask in range(1, 1 << len(pieces)):
+        options = []
+        for k, x in enumerate(pieces):
+            if mask >> k & 1:
+                bins, fill = best[mask ^ (1 << k)]
+                options.append((bins, fill + x) if fill + x <= limit else (bins + 1, x))
+        best[mask] = min(options)
+    return best[(1 << len(pieces)) - 1][0]
+
+
+def test_packing_against_the_optimum():
+    rng, equal = np.random.default_rng(2), 0
+    for _ in range(60):
+        pieces = rng.integers(2, 9, 10).tolist()
+        got = sum(swap_packing.pack_lengths(Counter(pieces), swap_packing.Packing(limit=12)).values())
+        least = fewest(pieces, 12)
+        assert least <= got <= least + 1
+        equal += got == least
+    assert equal >= 57
+
+
 def test_best_fit_counts():
     rng = np.random.default_rng(0)
     counts = Counter(rng.integers(1, 101, 5000).tolist())
