@@ -1,11 +1,12 @@
 """Secret scan by one combined deterministic automaton.
 
-The rules' regexes are parsed to a non-deterministic automaton over bytes, made deterministic by subset construction
-and minimised by partition refinement; the result is one transition array, (state, byte class) -> state. All texts of a
-batch are one byte sequence that is cut into many lanes of equal length; the lanes advance together, one gathered
-array per byte step, and a lane that began in the wrong state is run again from its true state until both runs meet.
-So each byte is read once for all rules. Only where the accepting state of a rule's anchor shows up are the ends of its match
-walked out, by the rule's own two small automata: backwards to the leftmost start, forwards to the longest end.
+The rules' regexes are parsed, reversed and joined to one non-deterministic automaton over bytes, made deterministic by
+subset construction and minimised by partition refinement; the result is one transition array, (state, byte class) ->
+state. It reads the bytes once, from the last to the first, for all rules: wherever it accepts, a match of the rules that
+the state names begins. All texts of a batch are one byte sequence that is cut into many lanes of equal length; the lanes
+advance together, one gathered array per byte step, and a lane that began in the wrong state is run again from its true
+state until both runs meet. A rule's first start, and the first one after each of its matches, is then read forwards by the
+rule's own small automaton to the longest end. Every such reading is a match, so all of them together take as long as the text.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from strandweave.llm.textkernel import pieces, text_buffer
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``anchor`` matches a start of every match of ``regex``; ``least`` characters, of the whole match
-    or of its value (what follows the separator, over the class ``value``), make it a secret."""
+    """A kind of secret: matches of ``regex`` whose value (what follows the separator, over the class ``value``), or which
+    as a whole, have ``least`` characters."""
 
     kind: str
-    anchor: str
     regex: str
     least: int = 1
     value: str | None = None
@@ -41,18 +41,17 @@ def _either_case(word: str) -> str:
 _KEYS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 _LEAD = rf"""({_KEYS})["']? *[:=] *["']?[A-Za-z0-9+/_.=-]"""
 _B64 = "[A-Za-z0-9_-]"
-#: The base kinds in the order in which they sort, then those that this scan adds. Anchors are short, so that their
-#: product automaton stays small; the rest of a match is walked out.
+#: The base kinds in the order in which they sort, then those that this scan adds.
 RULES = (
-    Rule("assign", _LEAD, f"{_LEAD}[A-Za-z0-9+/_.=-]*", 6, "[A-Za-z0-9+/_.=-]"),
-    Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 20),
-    Rule("hex", "[0-9a-f]{24}", "[0-9a-f]{24}[0-9a-f]*", 24),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("google", f"AIza{_B64}", f"AIza{_B64}+", 39),
-    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]", "[rs]k_(live|test)_[A-Za-z0-9]+", 24),
-    Rule("jwt", f"eyJ{_B64}", rf"eyJ{_B64}+\.eyJ{_B64}+\.{_B64}+", 30),
-    Rule("pem", "-----BEGIN ", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("assign", f"{_LEAD}[A-Za-z0-9+/_.=-]*", 6, "[A-Za-z0-9+/_.=-]"),
+    Rule("access", "AKIA[A-Z0-9]+", 20),
+    Rule("hex", "[0-9a-f]{24}[0-9a-f]*", 24),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", f"AIza{_B64}+", 39),
+    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 24),
+    Rule("jwt", rf"eyJ{_B64}+\.eyJ{_B64}+\.{_B64}+", 30),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -236,16 +235,14 @@ def compile_rules(trees: list, anywhere: bool) -> Dfa:
 @dataclass(frozen=True)
 class Scanner:
     rules: tuple[Rule, ...]
-    all: Dfa
+    backward: Dfa  #: of all rules: accepts at the first byte of a match
     forward: tuple[Dfa, ...]
-    backward: tuple[Dfa, ...]
 
 
 @functools.lru_cache(4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    anchors = [parse(r.anchor) for r in rules]
-    forward = tuple(compile_rules([parse(r.regex)], False) for r in rules)
-    return Scanner(rules, compile_rules(anchors, True), forward, tuple(compile_rules([reverse(t)], False) for t in anchors))
+    trees = [parse(r.regex) for r in rules]
+    return Scanner(rules, compile_rules([reverse(t) for t in trees], True), tuple(compile_rules([t], False) for t in trees))
 
 
 # --- scanning ---
@@ -285,14 +282,14 @@ def accepting(dfa: Dfa, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[inside], bits[inside]
 
 
-def _walk(dfa: Dfa, data: bytes, at: int, end: int, step: int) -> int:
-    """The farthest position, from ``at`` towards ``end``, at which the automaton accepts; -1 if none."""
+def _longest(dfa: Dfa, data: bytes, at: int) -> int:
+    """The last position at which the automaton accepts, read from ``at``; -1 if none."""
     classes, table, accepts, s, far = dfa.classes, dfa.table, dfa.accepts, 0, -1
-    while at != end:
-        s = int(table[s, classes[data[at if step > 0 else at - 1]]])
+    while at < len(data):
+        s = int(table[s, classes[data[at]]])
         if s == dfa.dead:
             break
-        at += step
+        at += 1
         if accepts[s]:
             far = at
     return far
@@ -320,9 +317,10 @@ def find_spans(scan: Scanner, data: np.ndarray, offsets: np.ndarray) -> list[lis
     joined[np.arange(len(data)) + owner] = data
     begins = offsets[:-1] + np.arange(len(offsets) - 1)
     ends = begins + np.diff(offsets)
-    at, bits = accepting(scan.all, joined)
+    at, bits = accepting(scan.backward, joined[::-1])
     if not len(at):
         return out
+    at, bits = len(joined) - 1 - at[::-1], bits[::-1]
     text = np.searchsorted(begins, at, "right") - 1
     for doc in np.unique(text):
         raw = joined[begins[doc] : ends[doc]].tobytes()
@@ -333,14 +331,9 @@ def find_spans(scan: Scanner, data: np.ndarray, offsets: np.ndarray) -> list[lis
             for p in where[(what >> number) & 1 == 1].tolist():
                 if p < free:
                     continue
-                start = _walk(scan.backward[number], raw, p + 1, free, -1)
-                if start < 0:
-                    continue
-                end = _walk(scan.forward[number], raw, start, len(raw), 1)
-                if end < 0:
-                    continue
-                if _value_length(rule, raw[start:end]) >= rule.least:
-                    out[doc].append((start, number, end))
+                end = _longest(scan.forward[number], raw, p)
+                if _value_length(rule, raw[p:end]) >= rule.least:
+                    out[doc].append((p, number, end))
                 free = end
         out[doc].sort()
     return out
