@@ -15,20 +15,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.llm.common import materialise
 
 
 @dataclass(frozen=True)
 class Search:
-    """k neighbours; pruning factor; vectors per shard, queries per block, vectors per leaf; least number of shards."""
+    """k neighbours; pruning factor; most vectors of a shard and queries of a block, whose copies a task holds (some 32 MB each at
+    64 dimensions); vectors per leaf; shards that small tables are dealt to, each of ``least_rows`` vectors or more."""
 
     k: int = 20
     factor: float = 1.0
-    shard_rows: int = 2048
-    block_rows: int = 4096
-    leaf: int = 256
+    shard_rows: int = 65_536
+    block_rows: int = 65_536
+    leaf: int = 32
     least_shards: int = 24
+    least_rows: int = 256
+
+    def shards(self, n: int) -> int:
+        return max(1, math.ceil(n / self.shard_rows), min(self.least_shards, n // self.least_rows))
 
 
 def exact_scores(q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,20 +51,20 @@ class Tree:
     def __init__(self, points: np.ndarray, leaf: int):
         self.points, self.leaf = points, leaf
         self.order = np.arange(len(points))
-        self.root = self._grow(0, len(points), 0)
+        self.root = self._grow(0, len(points))
 
-    def _grow(self, lo: int, hi: int, depth: int):
+    def _grow(self, lo: int, hi: int):
         if hi - lo <= self.leaf:
             return (lo, hi)
         rows = self.order[lo:hi]
-        pick = rows[np.argmax(((self.points[rows] - self.points[rows].mean(0)) ** 2).sum(1))] if depth < 2 else rows[(hi - lo) * 7919 % (hi - lo)]
+        pick = rows[np.argmax(((self.points[rows] - self.points[rows].mean(0)) ** 2).sum(1))]  # an outlier: distances to it differ most
         d = np.sqrt(np.maximum(((self.points[rows] - self.points[pick]) ** 2).sum(1), 0))
         by = np.argsort(d, kind="stable")
         self.order[lo:hi] = rows[by]
         mid = (lo + hi) // 2
         d = d[by]
         near, far = (d[0], d[mid - lo - 1]), (d[mid - lo], d[-1])
-        return (pick, near, far, self._grow(lo, mid, depth + 1), self._grow(mid, hi, depth + 1))
+        return (pick, near, far, self._grow(lo, mid), self._grow(mid, hi))
 
     def search(self, queries: np.ndarray, best: "Best", factor: float) -> None:
         """Offers ``best`` all rows that pruning at ``factor`` doesn't leave out."""
@@ -76,9 +82,11 @@ class Tree:
             d = np.sqrt(np.maximum(((queries[at] - self.points[pick]) ** 2).sum(1), 0))
             gap = [np.maximum(bound, np.maximum(d - hi, lo - d)) for lo, hi in (near, far)]
             first = gap[0] <= gap[1]
-            # the nearer branch of most queries is on top of the stack
-            children = [(inner, at, gap[0]), (outer, at, gap[1])]
-            stack.extend(children if first.sum() * 2 < len(at) else children[::-1])
+            # each query's nearer branch first, or that of most of few queries (smaller blocks cost more than they leave out)
+            parts = [(first, 0), (~first, 1)] if len(at) >= 64 else [(slice(None), int(first.sum() * 2 < len(at)))]
+            for mine, near_ in parts:
+                far_ = 1 - near_
+                stack += [((inner, outer)[k], at[mine], gap[k][mine]) for k in (far_, near_)]
 
 
 class Best:
@@ -94,6 +102,7 @@ class Best:
         self.slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * math.sqrt(bound2) * self.norm
         self.score = np.full((len(q), k), -np.inf)
         self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.evaluated = 0  #: pairs of a query and a vector
 
     def reach(self, at: np.ndarray) -> np.ndarray:
         """Distance, in the metric space, of the k-th best; a little more, for rounding."""
@@ -105,6 +114,11 @@ class Best:
 
     def offer(self, at: np.ndarray, rows: np.ndarray) -> None:
         score = self.q[at] @ self.x[rows].T
+        self.evaluated += score.size
+        some = (score >= (self.score[at, -1] - self.slack[at])[:, None]).any(1)  # others have no row among their k best here
+        at, score = at[some], score[some]
+        if not len(at):
+            return
         ids = np.broadcast_to(self.x_ids[rows], score.shape).copy()
         own = ids == self.q_ids[at][:, None]
         score[own] = -np.inf
@@ -125,16 +139,22 @@ class Best:
         self.score[at], self.ids[at] = np.take_along_axis(score, by, 1), np.take_along_axis(ids, by, 1)
 
 
-def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the k best rows of one shard for one block of queries."""
+def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query id, vector id, score) of the k best rows of one shard for one block of queries, and how many pairs were evaluated."""
     bound2 = float((x**2).sum(1).max()) * (1 + 1e-12)
     m = math.sqrt(bound2)
     lift = lambda v, last: np.hstack([v, last[:, None]])
-    points = lift(x, np.sqrt(np.maximum(bound2 - (x**2).sum(1), 0)))
-    best = Best(q, q_ids, x, x_ids, s.k, bound2)
-    Tree(points, s.leaf).search(lift(q * (m / best.norm)[:, None], np.zeros(len(q))), best, s.factor)
-    row, rank = np.nonzero(np.isfinite(best.score))
-    return q_ids[row], best.ids[row, rank], best.score[row, rank]
+    tree = Tree(lift(x, np.sqrt(np.maximum(bound2 - (x**2).sum(1), 0))), s.leaf)
+    out: list[tuple] = []
+    evaluated = 0
+    for lo in range(0, len(q), 4096):  # the tree stands, queries pass through it
+        own, own_ids = q[lo : lo + 4096], q_ids[lo : lo + 4096]
+        best = Best(own, own_ids, x, x_ids, s.k, bound2)
+        tree.search(lift(own * (m / best.norm)[:, None], np.zeros(len(own))), best, s.factor)
+        row, rank = np.nonzero(np.isfinite(best.score))
+        out.append((own_ids[row], best.ids[row, rank], best.score[row, rank]))
+        evaluated += best.evaluated
+    return (*(np.concatenate(c) for c in zip(*out, strict=True)), evaluated)
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -155,7 +175,7 @@ def nearest(vectors: DataFrame, is_query, s: Search = Search()) -> DataFrame:
     """
     own = materialise(valid_vectors(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("width", F.size("embedding")))
     n, nq = own.agg(F.count("*"), F.count_if(is_query)).first()
-    shards = max(s.least_shards, math.ceil(n / s.shard_rows))
+    shards = s.shards(n)
     blocks = max(1, math.ceil((nq or 0) / s.block_rows))
     of = lambda m, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -165,14 +185,12 @@ def nearest(vectors: DataFrame, is_query, s: Search = Search()) -> DataFrame:
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        a, b, c = search_shard(left.vec_id.to_numpy(), np.stack(left.embedding.to_numpy()), right.vec_id.to_numpy(), np.stack(right.embedding.to_numpy()), s)
+        a, b, c, _ = search_shard(left.vec_id.to_numpy(), np.stack(left.embedding.to_numpy()), right.vec_id.to_numpy(), np.stack(right.embedding.to_numpy()), s)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
     key = ["shard", "block", "width"]
     found = asked.groupBy(key).cogroup(base.groupBy(key)).applyInPandas(search, "query_id long, vec_id long, score double")
 
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
-    top = found.groupBy("query_id").agg(F.slice(order, 1, s.k).alias("top"))  # a query has at most k rows of each shard
-    return top.select("query_id", F.posexplode("top").alias("p", "t")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score")
-    )
+    # a query has k rows of each shard; Spark keeps the k best of each task before they are dealt out, and then of all
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

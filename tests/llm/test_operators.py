@@ -116,7 +116,7 @@ def test_search(factor, least):
     want = brute(ids.tolist(), x, range(0, 900, 9), 20)
     s = vptree.Search(k=20, factor=factor, leaf=16)
     at = np.arange(0, 900, 9)
-    q, v, score = vptree.search_shard(ids[at], x[at], ids, x, s)
+    q, v, score, _ = vptree.search_shard(ids[at], x[at], ids, x, s)
     got = {}
     for a, b, c in zip(q.tolist(), v.tolist(), score.tolist(), strict=True):
         got.setdefault(a, []).append((-c, b))
@@ -126,6 +126,23 @@ def test_search(factor, least):
         assert all([(b, -c) for c, b in sorted(got[a])[:20]] == want[a] for a in want)
 
 
+def test_pruning(spark):
+    """On clustered vectors most pairs are never evaluated; a smaller factor evaluates fewer still; trees exist at every size of table."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 24)) * 4)[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 24)) * 0.3
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    ids, at = np.arange(2000), np.arange(0, 2000, 20)
+    shares, recall = [], []
+    want = np.argsort(-(x[at] @ x.T) + np.where(ids == at[:, None], 9, 0), axis=1, kind="stable")[:, :20]
+    for factor in (1.0, 0.7):
+        q, v, _, evaluated = vptree.search_shard(ids[at], x[at], ids, x, vptree.Search(factor=factor))
+        shares.append(evaluated / (2000 * len(at)))
+        recall.append(np.mean([len(set(v[q == a]) & set(w)) / 20 for a, w in zip(at, want, strict=True)]))
+    assert shares[0] < 0.5 and shares[1] < shares[0] and recall[0] == 1 and recall[1] >= 0.9
+    for n in (512, 2000, 10_000, 10**6, 10**9):
+        assert n / vptree.Search().shards(n) >= 2 * vptree.Search().leaf
+
+
 # --- 4 ---
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
