@@ -77,10 +77,10 @@ def canonical(text: Column, line: str = COPYRIGHT_LINE) -> Column:
     """Lower case, no copyright lines, single blanks between words of letters and digits, one spelling for each word."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), line, " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
-    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
+    out = F.concat(F.lit(" "), F.replace(F.trim(out), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has blanks of its own
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
@@ -98,13 +98,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     each give a row, ties (texts alike after normalising) the same licence; an empty table gives none; other columns are
     ignored, whatever their names. The known texts are code, tens of rows, so their side of the hash joins has a fixed bound.
     """
+    few = F.broadcast if known is None else lambda own: own  # a caller's table may have any size
     known = known_digests(docs.sparkSession) if known is None else known
     text = F.col("text")
     bare = F.when(F.lower(text).rlike(COMMENTED_LINE), F.sha2(canonical(text, COMMENTED_LINE), 256))
     norm = docs.select("doc_id", canonical(text).alias("norm"), bare.alias("bare"))
     keyed = norm.select("doc_id", F.length("norm").cast("long").alias("n_norm_chars"), F.sha2("norm", 256).alias("digest"), "bare")
-    out = keyed.join(F.broadcast(known.select(F.col("digest"), F.col("license").alias("own"))), "digest", "left")
-    out = out.join(F.broadcast(known.select(F.col("digest").alias("bare"), F.col("license").alias("other"))), "bare", "left")
+    out = keyed.join(few(known.select(F.col("digest"), F.col("license").alias("own"))), "digest", "left")
+    out = out.join(few(known.select(F.col("digest").alias("bare"), F.col("license").alias("other"))), "bare", "left")
     found = F.coalesce("own", "other")
     return out.select("doc_id", "n_norm_chars", "digest", found.alias("license"), found.isNotNull().alias("is_license"))
 
@@ -115,10 +116,10 @@ def _quoted(s: str) -> str:
 
 def _sql_canonical(x: str) -> str:
     out = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(COPYRIGHT_LINE)}, ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, {_quoted(r'[^\p{L}\p{N}]+')}, ' ', 'g')) || ' '"
+    out = f"' ' || replace(trim(regexp_replace({out}, {_quoted(r'[^\p{L}\p{N}]+')}, ' ', 'g')), ' ', '  ') || ' '"
     for old, new in SPELLINGS:
         out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 ORACLE = f"""
