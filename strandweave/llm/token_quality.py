@@ -2,14 +2,17 @@
 public vocabularies.
 
 Each measure has a rejection band for each language (for rows without one, for the script of their letters) and each
-octave of token counts, as short texts scatter more and have relatively more distinct tokens. The bands come from the
-corpus itself: median plus or minus ``spread`` robust standard deviations of the documents that pass the base rules; a
-language with fewer than ``least`` of them in an octave uses that octave's bands over all languages, and an octave with
-fewer those of all documents.
+octave of token counts, as short texts scatter more and have relatively more distinct tokens: a median plus or minus
+``spread`` robust standard deviations of the documents that pass the base rules. A language and octave (cell) with few
+such documents leans on a model in place of its own quartiles, the more the fewer they are: the octave's median over
+languages plus what this language lies above others, and the octave's spread within languages. No count of documents
+switches from one to the other.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.llm.common import materialise
 from strandweave.llm.swap_packing import encoder
@@ -30,14 +34,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Bands:
-    """Vocabularies; robust standard deviations a band reaches to each side; its least half-width by measure; documents that a band needs."""
+    """Vocabularies; robust standard deviations a band reaches to each side; its least half-width by measure; documents that
+    the model of a cell counts for; inverse error of a quartile's rank; most cells that are broadcast."""
 
     vocabulary: str = "byte_bpe_50k.tiktoken"
     pieces: str = "piece_bpe_32k.model"
     spread: float = 5.0
     floor: tuple[float, ...] = (0.2, 0.2, 0.03, 0.03, 0.3)
-    least: int = 200
+    prior: float = 50.0
     accuracy: int = 10_000
+    broadcast_cells: int = 50_000
 
 
 _models: dict = {}
@@ -100,6 +106,30 @@ def measured(docs: DataFrame, p: Bands) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).mapInArrow(run, schema)
 
 
+def cells(good: DataFrame, p: Bands) -> DataFrame:
+    """(band, octave, <measure>_low, <measure>_high) of every language and octave of the (band, octave, measures) rows."""
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], p.accuracy).alias(m) for m in MEASURES]
+    own = good.groupBy("band", "octave").agg(F.count("*").alias("n"), *quartiles)
+    by_octave, by_band, all_cells = Window.partitionBy("octave"), Window.partitionBy("band"), Window.partitionBy(F.lit(0))
+    mean = lambda x, w, n=F.col("n"): F.sum(n * x).over(w) / F.sum(n).over(w)
+    more = F.col("n") - 1  # a single document has no spread
+    for m in MEASURES:
+        own = own.withColumn(f"{m}_mid", F.col(m)[1]).withColumn(f"{m}_iqr", F.col(m)[2] - F.col(m)[0])
+        own = own.withColumn(f"{m}_above", F.col(f"{m}_mid") - mean(F.col(f"{m}_mid"), by_octave))
+        own = own.withColumn(f"{m}_above", mean(F.col(f"{m}_above"), by_band))
+        own = own.withColumn(f"{m}_level", mean(F.col(f"{m}_mid") - F.col(f"{m}_above"), by_octave) + F.col(f"{m}_above"))
+        overall = F.coalesce(F.try_divide(F.sum(more * F.col(f"{m}_iqr")).over(all_cells), F.sum(more).over(all_cells)), F.lit(0.0))
+        own = own.withColumn(f"{m}_overall", overall)
+        own = own.withColumn(f"{m}_width", (F.sum(more * F.col(f"{m}_iqr")).over(by_octave) + p.prior * F.col(f"{m}_overall")) / (F.sum(more).over(by_octave) + p.prior))
+    n, out = F.col("n"), []
+    for m, floor in zip(MEASURES, p.floor, strict=True):
+        mid = (n * F.col(f"{m}_mid") + p.prior * F.col(f"{m}_level")) / (n + p.prior)
+        iqr = (more * F.col(f"{m}_iqr") + p.prior * F.col(f"{m}_width")) / (more + p.prior)
+        reach = F.greatest(p.spread * iqr / 1.349, F.lit(floor))
+        out += [(mid - reach).alias(f"{m}_low"), (mid + reach).alias(f"{m}_high")]
+    return own.select("band", "octave", *out)
+
+
 def quality(docs: DataFrame, p: Bands = Bands()) -> DataFrame:
     """(doc_id, base counts, n_tokens, n_pieces, measures, base_failed, kept) of every row of ``docs``.
 
@@ -109,21 +139,10 @@ def quality(docs: DataFrame, p: Bands = Bands()) -> DataFrame:
     """
     own = materialise(measured(docs, p).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
     own = own.withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
-    good = own.where(~F.col("base_failed"))
-    thirds = lambda lead: [F.percentile_approx(m, [0.25, 0.5, 0.75], p.accuracy).alias(f"{lead}_{m}") for m in MEASURES]
-    enough = F.col("n") >= p.least
-    by_band = good.groupBy(F.col("band").alias("b"), F.col("octave").alias("o")).agg(F.count("*").alias("n"), *thirds("b")).where(enough).drop("n")
-    by_octave = good.groupBy(F.col("octave").alias("oo")).agg(F.count("*").alias("n"), *thirds("o")).where(enough).drop("n")
-    for_all = good.agg(*thirds("a")).first()
-    out = own.join(by_band, (F.col("band") == F.col("b")) & (F.col("octave") == F.col("o")), "left")
-    out = out.join(F.broadcast(by_octave), F.col("octave") == F.col("oo"), "left")  # at most 64 octaves
-    limits = []
-    inside = F.lit(True)
-    for m, floor in zip(MEASURES, p.floor, strict=True):
-        common = F.array(*(F.lit(float(x)) for x in for_all[f"a_{m}"] or (0, 0, 0)))
-        q = F.coalesce(f"b_{m}", f"o_{m}", common)
-        reach = F.greatest(p.spread * (q[2] - q[0]) / 1.349, F.lit(floor))
-        limits.append(((q[1] - reach).alias(f"{m}_low"), (q[1] + reach).alias(f"{m}_high")))
-        inside = inside & F.col(m).between(q[1] - reach, q[1] + reach)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(inside)
-    return out.select("doc_id", *COUNTS, "n_tokens", "n_pieces", *MEASURES, *(x for pair in limits for x in pair), "base_failed", kept.alias("kept"))
+    bands = materialise(cells(own.where(~F.col("base_failed")), p)).withColumnsRenamed({"band": "b", "octave": "o"})
+    if bands.count() <= p.broadcast_cells:  # some 100 bytes each; else Spark joins by key, and splits skewed ones as it runs
+        bands = F.broadcast(bands)
+    out = own.join(bands, (F.col("band") == F.col("b")) & (F.col("octave") == F.col("o")), "left")
+    inside = functools.reduce(operator.and_, (F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")) for m in MEASURES))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    return out.select("doc_id", *COUNTS, "n_tokens", "n_pieces", *MEASURES, *(f"{m}_{side}" for m in MEASURES for side in ("low", "high")), "base_failed", kept.alias("kept"))

@@ -71,6 +71,14 @@ def test_license_variants(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: "MIT", 5: "ISC", 6: None, 7: None}
 
 
+def test_spellings_are_by_word(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("licence licence  Licence, organisation organisation",), ("license license license organization organization",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(license_scan.canonical(F.col("t"))).collect()]
+    assert got[0] == got[1] == rows[1][0]
+
+
 # --- 2 ---
 
 
@@ -96,6 +104,36 @@ def test_token_measures(spark, sf):
         assert not (r.base_failed and r.kept)
 
 
+def test_bands_by_brute_force(spark, sf):
+    import pandas as pd
+
+    p = token_quality.Bands(prior=7.0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = token_quality.quality(docs, p).toPandas()
+    raw = token_quality.measured(docs, p).toPandas()[["doc_id", "band"]]
+    df = got.merge(raw, on="doc_id")
+    df["octave"] = np.floor(np.log2(np.maximum(df.n_tokens, 1))).astype(int)
+    good = df[~df.base_failed]
+    quartile = lambda x, q: np.sort(x)[max(0, math.ceil(q * len(x)) - 1)]
+    for m, floor in zip(token_quality.MEASURES, p.floor, strict=True):
+        c = good.groupby(["band", "octave"])[m].agg(n="size", a=lambda x: quartile(x, 0.25), mid=lambda x: quartile(x, 0.5), b=lambda x: quartile(x, 0.75)).reset_index()
+        c["iqr"] = c.b - c.a
+        mean = lambda x, by: (x * c.n).groupby(c[by]).transform("sum") / c.n.groupby(c[by]).transform("sum")  # noqa: E731, B023
+        above = mean(c.mid - mean(c.mid, "octave"), "band")
+        level = mean(c.mid - above, "octave") + above
+        more = c.n - 1
+        overall = (more * c.iqr).sum() / more.sum()
+        width = ((more * c.iqr).groupby(c.octave).transform("sum") + p.prior * overall) / (more.groupby(c.octave).transform("sum") + p.prior)
+        mid = (c.n * c.mid + p.prior * level) / (c.n + p.prior)
+        reach = np.maximum(p.spread * (more * c.iqr + p.prior * width) / (more + p.prior) / 1.349, floor)
+        c["low"], c["high"] = mid - reach, mid + reach
+        df = df.merge(pd.DataFrame({"band": c.band, "octave": c.octave, f"{m}_l": c.low, f"{m}_h": c.high}), on=["band", "octave"], how="left")
+        own = df[~df.base_failed]
+        assert np.allclose(own[f"{m}_low"], own[f"{m}_l"]) and np.allclose(own[f"{m}_high"], own[f"{m}_h"])
+    inside = np.logical_and.reduce([(df[m] >= df[f"{m}_l"]) & (df[m] <= df[f"{m}_h"]) for m in token_quality.MEASURES])
+    assert (df.kept == (~df.base_failed & inside)).all() and df.kept.any() and (~df.kept & ~df.base_failed).any()
+
+
 # --- 3 ---
 
 
