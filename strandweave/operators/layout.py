@@ -92,11 +92,21 @@ def log_scaled(matrix: DataFrame) -> DataFrame:
 
 
 def colour_limit(matrix: DataFrame, offsets: DataFrame, times: float) -> DataFrame:
-    """(vmax): ``times`` the median of all cells off the diagonal within scaffolds, empty ones included."""
-    b = offsets.select("object", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n_bins") - 1)).alias("bin"))
-    a, c = b.select("object", F.col("bin").alias("i")), b.select("object", F.col("bin").alias("j"))
-    cells = a.join(c, "object").where(F.col("i") < F.col("j")).join(matrix, ["i", "j"], "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    return cells.agg((times * F.median("n")).alias("vmax"))
+    """(vmax): ``times`` the median of all cells off the diagonal within scaffolds, empty ones included.
+
+    The empty ones are the possible cells less the others, so only the histogram of values is sorted.
+    """
+    own = offsets.select(F.col("object"), F.col("offset").alias("lo"), (F.col("offset") + F.col("n_bins")).alias("hi"))
+    first = matrix.where("i < j").join(F.broadcast(own), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")) & (F.col("j") < F.col("hi")))  # a row for each scaffold
+    filled = first.groupBy("n").agg(F.count("*").alias("cells"))
+    possible = offsets.agg(F.sum(F.col("n_bins") * (F.col("n_bins") - 1) / 2).cast("long").alias("all_cells"))
+    empty = possible.crossJoin(filled.agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("known"))).select(F.lit(0).cast("long").alias("n"), (F.col("all_cells") - F.col("known")).alias("cells"))
+    both = filled.select(F.col("n").cast("long").alias("n"), "cells").unionByName(empty).where("cells > 0")
+    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each distinct value
+    upto = both.withColumns({"upto": F.sum("cells").over(w), "total": F.sum("cells").over(Window.partitionBy())})
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("n")))
+    total = F.col("total")
+    return upto.agg((times * (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias("vmax"))
 
 
 TICKS = (1_000_000, 2_000_000, 5_000_000, 10_000_000, 20_000_000, 50_000_000, 100_000_000, 200_000_000)

@@ -45,8 +45,12 @@ def _smaller(w: Column) -> Column:
 
 
 def canonical_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): the smaller of each k-mer and its reverse complement, without those that hold N."""
-    return _windows(seqs, "name", k).groupBy(_smaller(F.col("w")).alias("kmer")).agg(F.count("*").alias("n"))
+    """(kmer, n): the smaller of each k-mer and its reverse complement, without those that hold N.
+
+    Windows are counted as they are, at most 4**k keys of each task, and only the distinct ones are reversed.
+    """
+    raw = _windows(seqs, "name", k).groupBy("w").agg(F.count("*").alias("n"))
+    return raw.groupBy(_smaller(F.col("w")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 def kmer_composition(seqs: DataFrame, reference: DataFrame, k: int) -> DataFrame:

@@ -886,3 +886,6 @@ def long_read_paths(spark, d):
     number = lambda x: F.substring(x, 4, 10).cast("long")
     near = j.where(number("ctg_j") - number("ctg_i") == 1).where((F.col("pos_i") * 2 > F.col("len_i")) & (F.col("pos_j") * 2 <= F.col("len_j")))
     return grouped.long_read_paths(near.select("ctg_i", F.lit("T").alias("half_i"), "ctg_j", F.lit("H").alias("half_j")), 2)
+
+
+from strandweave.plans import steps  # noqa: E402, F401 (registers its queries)
