@@ -297,6 +297,37 @@ def tiled(members: DataFrame, most: int) -> DataFrame:
     return out.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")}).drop("big_list", "tiles", "other")
 
 
+def close_pairs(f: np.ndarray, g: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of f, row of g, differing bits), in blocks, of all pairs that differ in at most ``bits`` bits; without g, of f's own, each
+    once. Blocks stay in the processor's cache; all words but the last rule nearly all pairs out, and it is counted for the others."""
+    other = f if g is None else g
+    mine, others = np.ascontiguousarray(f.T), np.ascontiguousarray(other.T)
+    step = max(4, (1 << 16) // max(1, len(other)))
+    for lo in range(0, len(f), step):
+        first = 0 if g is not None else lo
+        x, y = mine[:, lo : lo + step, None], others[:, None, first:]
+        d = np.bitwise_count(x[0] ^ y[0])
+        for k in range(1, WORDS - 1):
+            d += np.bitwise_count(x[k] ^ y[k])
+        i, j = np.divmod(np.flatnonzero(d <= bits), d.shape[1])
+        if g is None:
+            i, j = i[j > i], j[j > i]
+        n = d[i, j].astype(np.int64)
+        i, j = i + lo, j + first
+        n += np.bitwise_count(mine[-1, i] ^ others[-1, j])
+        near = n <= bits
+        if near.any():
+            yield i[near], j[near], n[near]
+
+
+def nearest_first(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (row, bits, other row) and the rank of each in its row, up to rank ``most``, which tells that there are more."""
+    key = np.sort(key)
+    row = key >> 40
+    rank = np.arange(len(key)) - np.searchsorted(row, row)
+    return key[rank <= most], rank[rank <= most]
+
+
 def compare(table: pa.Table, p: Near, bits: int, most: int | None) -> tuple[list[np.ndarray], np.ndarray]:
     """([a, b], more): each row's ``most`` nearest candidates in other components, and whether it has more than these.
 
@@ -308,30 +339,29 @@ def compare(table: pa.Table, p: Near, bits: int, most: int | None) -> tuple[list
     cid, size = cid[by], table.column("n").to_numpy()[by].astype(float)
     group = table.column("label").to_numpy()[by]
     tile = table.column("tile").to_numpy()[by]
-    split = table.num_rows and table.column("tile_a")[0].as_py() != table.column("tile_b")[0].as_py()
+    at, to = np.arange(len(cid)), None
+    if table.num_rows and table.column("tile_a")[0].as_py() != table.column("tile_b")[0].as_py():
+        at, to = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile != tile.min())
     f = np.column_stack([table.column(f"f{k}").to_numpy() for k in range(WORDS)]).view(U)[by]
     a, b, more = [], [], np.zeros(len(cid), bool)
-    step = max(16, min(256, (1 << 20) // max(1, len(cid))))
-    for lo in range(0, len(cid), step):
-        x = f[lo : lo + step]
-        d = np.zeros((len(x), len(f)), np.uint16)
-        for k in range(WORDS):
-            d += np.bitwise_count(x[:, k, None] ^ f[None, :, k])
-        i, j = np.nonzero(d <= bits)
-        keep = (group[i + lo] != group[j]) & (np.minimum(size[i + lo], size[j]) >= p.similarity * np.maximum(size[i + lo], size[j]))
-        if split:
-            keep &= tile[i + lo] != tile[j]
-        i, j = i[keep], j[keep]
-        if not len(i):
+    held, waiting = [np.zeros(0, np.int64)], 0
+    for i, j, d in close_pairs(f[at], None if to is None else f[to], bits):
+        i, j = at[i], (at if to is None else to)[j]
+        keep = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= p.similarity * np.maximum(size[i], size[j]))
+        i, j, d = i[keep], j[keep], d[keep]
+        if most is None:
+            a.append(cid[i])
+            b.append(cid[j])
             continue
-        if most is not None:
-            order = np.lexsort((j, d[i, j], i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            more[lo + np.unique(i[rank >= most])] = True
-            i, j = i[rank < most], j[rank < most]
-        a.append(cid[i + lo])
-        b.append(cid[j])
+        held += [i << 40 | d << 32 | j, j << 40 | d << 32 | i]
+        waiting += 2 * len(i)
+        if waiting > 1 << 20:  # a row's nearest of all are among its nearest so far and those to come
+            held, waiting = [nearest_first(np.concatenate(held), most)[0]], 0
+    if most is not None:
+        key, rank = nearest_first(np.concatenate(held), most)
+        more[key[rank == most] >> 40] = True
+        key = key[rank < most]
+        a, b = [cid[key >> 40]], [cid[key & 0xFFFFFFFF]]
     z = np.zeros(0, np.int64)
     return [np.concatenate(a) if a else z, np.concatenate(b) if b else z], by[more]
 
