@@ -3,7 +3,8 @@
 Largest inner product is nearest Euclidean distance after x -> (x, sqrt(M^2 - |x|^2)) with M the shard's largest norm
 and queries scaled to length M, so the triangle inequality holds and prunes. A branch is left out if its nearest
 possible point is farther than ``factor`` times the distance of the k-th neighbour known so far: factor 1 is exact,
-less visits fewer branches. Whole blocks of queries descend one tree together, so each node is one matrix product.
+less visits fewer branches. Whole blocks of queries descend one tree together, so each node is one matrix product. Where
+a shard's first queries show that its tree leaves out little, the others scan the shard in large blocks, which is exact too.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ class Search:
     leaf: int = 32
     least_shards: int = 24
     least_rows: int = 256
+    trial: int = 64
+    useless: float = 0.5
 
     def shards(self, n: int) -> int:
         return max(1, math.ceil(n / self.shard_rows), min(self.least_shards, n // self.least_rows))
@@ -115,29 +118,32 @@ class Best:
     def offer(self, at: np.ndarray, rows: np.ndarray) -> None:
         score = self.q[at] @ self.x[rows].T
         self.evaluated += score.size
-        some = (score >= (self.score[at, -1] - self.slack[at])[:, None]).any(1)  # others have no row among their k best here
-        at, score = at[some], score[some]
-        if not len(at):
+        floor = self.score[at, -1]
+        if len(rows) > self.k and np.isneginf(floor).any():  # one more than k, since the query's own row may be among them
+            floor = np.maximum(floor, np.partition(score, len(rows) - self.k - 1, axis=1)[:, len(rows) - self.k - 1])
+        row, col = np.divmod(np.flatnonzero(score >= (floor - self.slack[at])[:, None]), len(rows))
+        other = self.x_ids[rows[col]] != self.q_ids[at[row]]
+        row, col = row[other], col[other]
+        if not len(row):
             return
-        ids = np.broadcast_to(self.x_ids[rows], score.shape).copy()
-        own = ids == self.q_ids[at][:, None]
-        score[own] = -np.inf
-        ids[own] = np.iinfo(np.int64).max
-        both = np.hstack([self.score[at], score])
-        kth = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k]
-        row, col = np.nonzero((score >= (kth - self.slack[at])[:, None]) & ~own)
-        exact = np.full(score.shape, -np.inf)
-        exact[row, col] = exact_scores(self.q, at[row], self.x, rows[col])
-        wide = int(np.bincount(row, minlength=1).max())
-        if not wide:
-            return
-        if wide < len(rows):
-            part = np.argpartition(-exact, wide - 1, axis=1)[:, :wide]
-            exact, ids = np.take_along_axis(exact, part, 1), np.take_along_axis(ids, part, 1)
+        some, first, count = np.unique(row, return_index=True, return_counts=True)
+        put = np.repeat(np.arange(len(some)), count), np.arange(len(row)) - np.repeat(first, count)
+        exact = np.full((len(some), count.max()), -np.inf)
+        ids = np.full(exact.shape, np.iinfo(np.int64).max)
+        exact[put] = exact_scores(self.q, at[row], self.x, rows[col])
+        ids[put] = self.x_ids[rows[col]]
+        at = at[some]
         score, ids = np.hstack([self.score[at], exact]), np.hstack([self.ids[at], ids])
         by = np.lexsort((ids, -score), axis=1)[:, : self.k]
         self.score[at], self.ids[at] = np.take_along_axis(score, by, 1), np.take_along_axis(ids, by, 1)
 
+    def scan(self) -> None:
+        """Offers all rows to all queries, in blocks."""
+        for lo in range(0, len(self.x), 4096):
+            rows = np.arange(lo, min(lo + 4096, len(self.x)))
+            for first in range(0, len(self.q), 512):
+                self.offer(np.arange(first, min(first + 512, len(self.q))), rows)
+
 
 def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query id, vector id, score) of the k best rows of one shard for one block of queries, and how many pairs were evaluated."""
@@ -147,10 +153,14 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     tree = Tree(lift(x, np.sqrt(np.maximum(bound2 - (x**2).sum(1), 0))), s.leaf)
     out: list[tuple] = []
     evaluated = 0
-    for lo in range(0, len(q), 4096):  # the tree stands, queries pass through it
-        own, own_ids = q[lo : lo + 4096], q_ids[lo : lo + 4096]
+    starts = [0, *range(s.trial, len(q), 4096)]
+    for lo, hi in zip(starts, [*starts[1:], len(q)], strict=True):  # the tree stands, queries pass through it
+        own, own_ids = q[lo:hi], q_ids[lo:hi]
         best = Best(own, own_ids, x, x_ids, s.k, bound2)
-        tree.search(lift(own * (m / best.norm)[:, None], np.zeros(len(own))), best, s.factor)
+        if lo and evaluated > s.useless * lo * len(x):
+            best.scan()
+        else:
+            tree.search(lift(own * (m / best.norm)[:, None], np.zeros(len(own))), best, s.factor)
         row, rank = np.nonzero(np.isfinite(best.score))
         out.append((own_ids[row], best.ids[row, rank], best.score[row, rank]))
         evaluated += best.evaluated
