@@ -41,3 +41,52 @@ def balanced(a: np.ndarray, blocks: list[tuple[int, int]], pseudo: float = 1e-5)
         out[lo:hi, lo:hi] = y[:, None] * b[lo:hi, lo:hi] * y[None, :]
     out[zero] = 0
     return out
+
+
+def balance_cells(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, pseudo: float = 1e-5, tolerance: float = 1e-8, rounds: int = 200) -> np.ndarray:
+    """``balance`` of the n-by-n matrix with v at (i, j) and (j, i), i <= j, and ``pseudo`` added to all n * n cells.
+
+    The sum of x stands for the added cells, so memory follows from n and the cells given. Each Newton step is the solution
+    of (a + diag(a @ x / x)) step = rest / x, which is symmetric and positive, by conjugate gradients.
+    """
+    off = i != j
+    oi, oj, ov = i[off], j[off], v[off]
+
+    def times(x: np.ndarray) -> np.ndarray:
+        return np.bincount(i, v * x[j], n) + np.bincount(oj, ov * x[oi], n) + pseudo * x.sum()
+
+    def solved(diagonal: np.ndarray, right: np.ndarray, goal: float) -> np.ndarray:
+        out, rest = np.zeros(n), right.copy()
+        z = rest / diagonal
+        way, now = z.copy(), float(rest @ z)
+        for _ in range(1000):
+            if not now > goal:
+                break
+            y = times(way)
+            y += diagonal * way
+            t = now / float(way @ y)
+            out += t * way
+            rest -= t * y
+            z = rest / diagonal
+            now, last = float(rest @ z), now
+            way *= now / last
+            way += z
+        return out
+
+    if not n:
+        return np.zeros(0)
+    x = 1 / np.sqrt(times(np.ones(n)))
+    for _ in range(20):
+        x = np.sqrt(x / times(x))
+    for _ in range(rounds):
+        y = times(x)
+        rest = 1 - x * y
+        worst = float(np.abs(rest).max())
+        if worst < tolerance:
+            return x
+        y /= x
+        rest /= x
+        step = solved(y, rest, 1e-4 * min(1.0, worst) * float(rest @ (rest / y)))
+        down = step < 0
+        x = x + (min(1.0, 0.9 * float((x[down] / -step[down]).min())) if down.any() else 1.0) * step
+    raise ValueError("no convergence: the matrix may be too sparse")

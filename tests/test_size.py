@@ -58,3 +58,26 @@ def test_a_contig_of_two_billion_bases(spark):
     runs = coverage.runs(pairs, contigs, 20)
     breaks = coverage.break_points(runs, coverage.high_regions(runs, contigs, 0.8, 0.02, 40, 20))
     assert [tuple(r) for r in breaks.collect()] == [("c", size // 40 + 1, 0)]
+
+
+def test_balance_of_cells(spark):
+    from strandweave.kernels import balance
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60):
+        a = np.triu(rng.poisson(0.3, (n, n))).astype(float)
+        a[np.arange(n - 1), np.arange(1, n)] += 1
+        i, j = np.nonzero(a)
+        full = a + np.triu(a, 1).T + 1e-5
+        x = balance.balance_cells(i, j, a[i, j], n)
+        assert np.allclose(x * (full @ x), 1, atol=1e-7) and np.allclose(x, balance.balance(full), rtol=1e-4)
+
+
+def test_a_million_bins_are_balanced():
+    from strandweave.kernels import balance
+
+    n = 1_000_000  # as a dense matrix 8 TB
+    i, j = np.arange(n - 1), np.arange(1, n)
+    x = balance.balance_cells(i, j, np.ones(n - 1), n)
+    y = np.bincount(i, x[j], n) + np.bincount(j, x[i], n) + 1e-5 * x.sum()
+    assert np.abs(x * y - 1).max() < 1e-7
