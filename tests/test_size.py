@@ -81,3 +81,31 @@ def test_a_million_bins_are_balanced():
     x = balance.balance_cells(i, j, np.ones(n - 1), n)
     y = np.bincount(i, x[j], n) + np.bincount(j, x[i], n) + 1e-5 * x.sum()
     assert np.abs(x * y - 1).max() < 1e-7
+
+
+def test_clusters_take_all_links_and_contigs(spark):
+    from strandweave.plans import grouped
+
+    rng = np.random.default_rng(2)
+    links = [(a, b, int(rng.integers(5, 9)) if a // 6 == b // 6 else int(rng.integers(0, 2))) for a in range(18) for b in range(a + 1, 18)]
+    frame = spark.createDataFrame([x for x in links if x[2]], "ctg_i long, ctg_j long, links long")
+    contigs = spark.createDataFrame([(k,) for k in range(20)], "ctg long")  # 18 and 19 have no links
+    got = {(r.ctg, r.cluster) for r in grouped.component_clusters(frame, contigs, 2.0).collect()}
+    assert got == {(k, k // 6 * 6) for k in range(18)} | {(18, 18), (19, 19)}
+
+
+def test_columns_of_a_square():
+    import pandas as pd
+
+    from strandweave.kernels.columns import Columns
+
+    rng = np.random.default_rng(5)
+    for share in (0.02, 0.9):
+        m = np.where(rng.random((300, 300)) < share, rng.integers(1, 9, (300, 300)), 0.0) + np.eye(300)
+        full = (m / m.sum(0)) @ m
+        for block in range(3):
+            own, ks = Columns(block, 128, 300), range(300)
+            row = [np.flatnonzero(m[k, block * 128 : block * 128 + 128]) + block * 128 for k in ks]
+            col = [np.flatnonzero(m[:, k]) for k in ks]
+            own.add(*map(pd.Series, (row, [m[k, x] for k, x in zip(ks, row, strict=True)], col, [m[x, k] for k, x in zip(ks, col, strict=True)])))
+            assert np.allclose(own.sums, full[:, block * 128 : block * 128 + 128].T)
