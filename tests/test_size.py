@@ -109,3 +109,22 @@ def test_columns_of_a_square():
             col = [np.flatnonzero(m[:, k]) for k in ks]
             own.add(*map(pd.Series, (row, [m[k, x] for k, x in zip(ks, row, strict=True)], col, [m[x, k] for k, x in zip(ks, col, strict=True)])))
             assert np.allclose(own.sums, full[:, block * 128 : block * 128 + 128].T)
+
+
+def test_streamed_sweep(spark):
+    from strandweave.kernels import ordering
+    from strandweave.plans import grouped
+
+    rng = np.random.default_rng(6)
+    contigs = [(k, int(rng.integers(50, 60)), int(rng.integers(3, 40)), int(rng.integers(0, 4)) if rng.random() < 0.8 else None) for k in range(60)]
+    links = [(a, b, int(rng.integers(0, 30)) * (1 + 3 * ((a + b) % 4 == 0))) for a in range(60) for b in range(a + 1, 60)]
+    links = [x for x in links if x[2]]
+    near = {}
+    for a, b, n in links:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = float(n)
+    sites = {g: 1 + sum(s - 1 for _, _, s, x in contigs if x == g) for g in range(4)}
+    limits = dict(least_sites=5, least_links=20, ambiguous=0.97, least_density=0.05, least_ratio=1.05)
+    want = ordering.sweep([c[:3] for c in contigs], {c[0]: c[3] for c in contigs}, near, sites, **limits)
+    assert sum(want[c[0]] != c[3] for c in contigs) > 10
+    got = grouped.reassigned(spark.createDataFrame(links, "ctg_i long, ctg_j long, links long"), spark.createDataFrame(contigs, "ctg long, len long, re_sites long, grp long"), **limits)
+    assert {r.ctg: r.grp for r in got.collect()} == want
