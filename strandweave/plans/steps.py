@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from strandweave.operators import chain, filters, links, reads
 from strandweave.plans import proxy
 from strandweave.plans.iteration import checkpointed
-from strandweave.plans.proxy import with_
-from strandweave.plans.queries import _AGP, _DENS, _NX, _RANKS, Frames, _agp, query, rounded
+from strandweave.plans.proxy import named, with_
+from strandweave.plans.queries import _AGP, _DENS, _NX, _RANKS, Frames, Numbered, _agp, query, rounded
 
 _DEPTH = "(re_sites * 7 + len) % 41"
 
@@ -38,13 +38,13 @@ _CHAIN = _NX + f", s AS (SELECT *, {_DEPTH} AS depth FROM nx WHERE re_sites > 5)
 SELECT ctg FROM rs, rq WHERE rank_sum <= q3 + 1.5 * (q3 - q1) UNION SELECT ctg FROM contigs WHERE hap = 0"""))
 def filter_chain(spark, d):
     f = Frames(spark, d)
-    return chain.filter_fragments(_with_depth(f.contigs), f.links, f.contigs.where("hap = 0"), chain.Chain(sites=5))
+    return chain.filter_fragments(_with_depth(f.contigs), named(Numbered(spark, d).links, "ctg_i", "ctg_j"), f.contigs.where("hap = 0"), chain.Chain(sites=5))
 
 
 @query(with_("links", _RANKS + " SELECT ctg, rank_sum FROM rs WHERE rank_sum <= 95"))
 def rank_sum_cutoff(spark, d):
-    f = Frames(spark, d)
-    return chain.at_most(filters.rank_sums(checkpointed(f.links), f.contigs.where("hap = 1"), 5), 95)
+    f = Numbered(spark, d)
+    return named(chain.at_most(filters.rank_sums(checkpointed(f.links), f.contigs.where("hap = 1"), 5), 95), "ctg")
 
 
 # --- intervals ---
@@ -149,8 +149,8 @@ def reference_order(spark, d):
 n AS (SELECT e.ctg, floor(pos / 100)::BIGINT AS bin, hap, count(*) AS n FROM e JOIN contigs c ON other = c.ctg GROUP BY ALL)
 SELECT ctg, bin, hap, n, round(sum(n) OVER (PARTITION BY ctg, bin ORDER BY hap ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY ctg, bin), 6) AS upto FROM n"""))
 def haplotype_tracks(spark, d):
-    f = Frames(spark, d)
-    return rounded(reads.haplotype_tracks(f.pairs, f.contigs, 100), "upto")
+    f = Numbered(spark, d)
+    return named(rounded(reads.haplotype_tracks(f.pairs, f.contigs, 100), "upto"), "ctg")
 
 
 @query(with_("links", _DENS + """, r AS (SELECT ctg_i, ctg_j, links, (links % 10) / 10.0 AS ratio FROM links)

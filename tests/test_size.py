@@ -128,3 +128,26 @@ def test_streamed_sweep(spark):
     assert sum(want[c[0]] != c[3] for c in contigs) > 10
     got = grouped.reassigned(spark.createDataFrame(links, "ctg_i long, ctg_j long, links long"), spark.createDataFrame(contigs, "ctg long, len long, re_sites long, grp long"), **limits)
     assert {r.ctg: r.grp for r in got.collect()} == want
+
+
+def test_a_clique_without_edges_left():
+    from strandweave.kernels import graphs
+
+    edges = [(0, 1), (2, 4), (1, 2), (0, 4), (1, 5), (0, 3), (0, 2), (2, 5), (1, 3)]
+    assert all(len(c) <= 2 for c in graphs.split_cliques({e: float(k) for k, e in enumerate(sorted(edges))}, 2))
+
+
+def test_mirrored_rows_once(spark):
+    from strandweave.operators import layout
+
+    m = spark.createDataFrame([(1, 1, 5), (1, 2, 7)], "i long, j long, n long")
+    assert sorted(tuple(r) for r in layout.mirrored(m).collect()) == [(1, 1, 5), (1, 2, 7), (2, 1, 7)]
+
+
+def test_named_queries_shuffle_numbers(spark, sf):
+    from strandweave.plans import queries as plans
+
+    for name in ("pair_bins", "concentration_ratio", "concordance_ratio"):
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(ctg" in x]
+        assert exchanges and plan.count("SortMergeJoin") <= 1, name
