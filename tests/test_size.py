@@ -90,8 +90,9 @@ def test_clusters_take_all_links_and_contigs(spark):
     links = [(a, b, int(rng.integers(5, 9)) if a // 6 == b // 6 else int(rng.integers(0, 2))) for a in range(18) for b in range(a + 1, 18)]
     frame = spark.createDataFrame([x for x in links if x[2]], "ctg_i long, ctg_j long, links long")
     contigs = spark.createDataFrame([(k,) for k in range(20)], "ctg long")  # 18 and 19 have no links
-    got = {(r.ctg, r.cluster) for r in grouped.component_clusters(frame, contigs, 2.0).collect()}
-    assert got == {(k, k // 6 * 6) for k in range(18)} | {(18, 18), (19, 19)}
+    for dense in (2000, 5):
+        got = {(r.ctg, r.cluster) for r in grouped.component_clusters(frame, contigs, 2.0, dense).collect()}
+        assert got == {(k, k // 6 * 6) for k in range(18)} | {(18, 18), (19, 19)}
 
 
 def test_columns_of_a_square():
